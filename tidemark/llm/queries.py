@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from .licenses import license_scan, license_sql
 from .packing import pack
 from .pieces import piece_digest
+from .quality import quality
 from .token_files import token_file_digest
+from .toxicity import toxicity
 
 BYTE_BPE, PIECE_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -17,8 +20,11 @@ def table(spark, sf_dir, name):
 
 QUERIES = {
     "op2_token_files": lambda spark, d: token_file_digest(table(spark, d, "documents"), BYTE_BPE),
+    "op4_quality": lambda spark, d: quality(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op5_license_scan": lambda spark, d: license_scan(table(spark, d, "documents")),
+    "op6_toxicity": lambda spark, d: toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op9_piece_codec": lambda spark, d: piece_digest(table(spark, d, "documents"), PIECE_BPE),
     "op10_best_fit_packing": lambda spark, d: pack(table(spark, d, "documents"), BYTE_BPE),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op5_license_scan": license_sql()}
