@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from .licenses import license_scan, license_sql
+from .ngrams import ngram_classes
 from .packing import pack
 from .pieces import piece_digest
 from .quality import quality
@@ -23,6 +24,7 @@ QUERIES = {
     "op4_quality": lambda spark, d: quality(table(spark, d, "documents"), table(spark, d, "labels")),
     "op5_license_scan": lambda spark, d: license_scan(table(spark, d, "documents")),
     "op6_toxicity": lambda spark, d: toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op7_ngram_join": lambda spark, d: ngram_classes(table(spark, d, "documents")),
     "op9_piece_codec": lambda spark, d: piece_digest(table(spark, d, "documents"), PIECE_BPE),
     "op10_best_fit_packing": lambda spark, d: pack(table(spark, d, "documents"), BYTE_BPE),
 }
