@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from .html_text import extract
 from .licenses import license_scan, license_sql
 from .ngrams import ngram_classes
 from .packing import pack
@@ -20,6 +21,7 @@ def table(spark, sf_dir, name):
 
 
 QUERIES = {
+    "op1_html_extraction": lambda spark, d: extract(table(spark, d, "pages")),
     "op2_token_files": lambda spark, d: token_file_digest(table(spark, d, "documents"), BYTE_BPE),
     "op4_quality": lambda spark, d: quality(table(spark, d, "documents"), table(spark, d, "labels")),
     "op5_license_scan": lambda spark, d: license_scan(table(spark, d, "documents")),
