@@ -112,3 +112,36 @@ def first_gap(keys: DataFrame, number: str) -> DataFrame:
     starts = n.where("n = 0").select("n")
     gap = ends.agg(F.min("n").alias("last")).crossJoin(starts.agg(F.count("*").alias("has"))).select(F.when(F.col("has") > 0, F.col("last") + 1).otherwise(0).cast("long").alias("first_missing"))
     return gap.crossJoin(n.agg(F.count("*").alias("all_n"))).select("first_missing", (F.col("all_n") - F.col("first_missing")).cast("long").alias("beyond"))
+
+
+def scan_many(log: DataFrame, ranges: DataFrame, snapshot: int | None = None, bound: int = 100_000) -> DataFrame:
+    """Live rows of many key ranges (id, start, end; both ends included), each with the range's id.
+
+    Up to `bound` ranges go to every task, which cuts each batch of sorted keys by them; more
+    than that meet the rows in a range join.
+    """
+    live = visible(log, snapshot)
+    asked = ranges.select("id", "start", "end")
+    if asked.count() > bound:
+        return live.join(asked, (F.col("key") >= F.col("start")) & (F.col("key") <= F.col("end"))).select("id", *live.columns)
+    listed = [(r["id"], r["start"], r["end"]) for r in asked.collect()]
+    listed = [(i, bytes(a) if isinstance(a, bytearray) else a, bytes(b) if isinstance(b, bytearray) else b) for i, a, b in listed]
+
+    def cut(batches):
+        from bisect import bisect_left, bisect_right
+
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            batch = batch.sort_by("key")
+            keys = batch.column(0).to_pylist()
+            spans = [(i, bisect_left(keys, a), bisect_right(keys, b)) for i, a, b in listed]
+            spans = [s for s in spans if s[1] < s[2]]
+            if spans:
+                rows = pa.array(np.concatenate([np.arange(a, b) for _, a, b in spans]))
+                ids = np.repeat([i for i, *_ in spans], [b - a for _, a, b in spans])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *batch.take(rows).columns], ["id", *batch.schema.names])
+
+    types = dict(live.dtypes)
+    return live.mapInArrow(cut, "id long, " + ", ".join(f"{c} {types[c]}" for c in live.columns))
