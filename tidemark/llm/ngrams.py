@@ -16,8 +16,8 @@ is found, none is capped:
    maximum possible overlap rule a link out, and those that lie in one class already. A group
    of over `block` sets is dealt out as pairs of blocks.
 5. Surviving pairs are verified on the whole sets. A first round pairs each group's sets with
-   its first alone, which joins large families in linear work; the second round takes all
-   pairs that the first left in different classes.
+   one of them alone, the one of most groups, which joins large families in linear work; the
+   second round takes all pairs that the first left in different classes.
 
 Null texts are empty; an empty text, or one without words, has no shingles and links with
 nothing. Repeated rows are documents of their own in one class. An empty table gives no rows.
@@ -253,7 +253,7 @@ def groups_in(batches, keys: int):
         yield rest
 
 
-def frequent_shingles(docs: DataFrame, most: int, each: int = 4096) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, most: int, each: int = 1 << 15) -> np.ndarray:
     """At most `most` shingles of the highest counts, rarest last; each partition names its `each` most frequent."""
 
     def count(batches):
@@ -266,7 +266,7 @@ def frequent_shingles(docs: DataFrame, most: int, each: int = 4096) -> np.ndarra
             if held:
                 u, inv = np.unique(both, return_inverse=True)
                 total = np.bincount(inv, np.concatenate([known[1], c]), len(u)).astype(np.int64)
-                top = np.argsort(-total, kind="stable")[: 64 * each]
+                top = np.argsort(-total, kind="stable")[: 32 * each]
                 return u[top], total[top]
             return known
 
@@ -372,47 +372,48 @@ def _groups(prepared: DataFrame) -> DataFrame:
     return met.dropDuplicates(["gid", "sid"])
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) of the pairs of sets that link."""
+def _verify(docs: DataFrame, prepared: DataFrame, pairs: DataFrame, label: str, bound: int = 1 << 20) -> tuple[DataFrame, str]:
+    """(a, b) of the pairs of sets that link, by the whole sets of their documents.
+
+    Shingles are made again, from those documents' texts alone, instead of kept for all. The
+    documents' ids are broadcast up to `bound`; beyond, documents meet them in a join.
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    named = prepared.where("sig is not null").select("sid", "doc_id").join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("_id"))
+    named, p_named = cut(named.select("_id").distinct(), f"{label}-wanted")
+    if named.count() <= bound:
+        named = F.broadcast(named)
+    chosen = texts_of(docs)
+    chosen = chosen.join(named, chosen["doc_id"].eqNullSafe(named["_id"]), "left_semi")
+
+    def make(batches):
+        seen = set()
+        for batch in batches:
+            for _, part in slices(batch.column(0).to_pylist()):
+                found = {set_id(s): s for s in shingle_sets(part)}
+                new = [i for i in found if i not in seen]
+                seen.update(new)
+                yield _batch("sid shingles", pa.array(new, pa.int64()), pa.array([found[i].tobytes() for i in new], pa.binary()))
+
+    sets, p_sets = cut(chosen.select("text").mapInArrow(make, "sid long, shingles binary"), f"{label}-sets")
 
     def check(batches):
         for batch in batches:
-            a, b, x, y = (c.to_pylist() for c in batch.columns)
-            keep = []
-            for s, t in zip(x, y):
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (s, t) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
                 both = np.sort(np.concatenate([s, t]), kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= 80 * (len(s) + len(t) - common))
-            keep = np.array(keep, bool)
-            yield _batch("a b", pa.array(a, pa.int64()).filter(pa.array(keep)), pa.array(b, pa.int64()).filter(pa.array(keep)))
+                keep[i] = 100 * common >= 80 * (len(s) + len(t) - common)
+            yield _batch("a b", batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)))
 
     x, y = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, bound: int = 1 << 20) -> tuple[DataFrame, str]:
-    """(sid, shingles) of the wanted sets. Ids are broadcast up to `bound`; beyond, all sets meet them in a join."""
-    n = wanted.count()
-    few = np.sort(np.array([r[0] for r in wanted.toLocalIterator()], np.int64)) if n <= bound else None
+    links, path = cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), f"{label}-links")
+    forget(docs.sparkSession, p_named, p_sets)
+    return links, path
 
-    def run(batches):
-        seen = set()
-        for batch in batches:
-            for _, part in slices(batch.column(0).to_pylist()):
-                sets = shingle_sets(part)
-                ids = np.array([set_id(s) for s in sets], np.int64)
-                take = np.isin(ids, few) if few is not None else np.ones(len(ids), bool)
-                rows = [i for i in np.flatnonzero(take).tolist() if ids[i] not in seen and not seen.add(ids[i])]
-                yield _batch("sid shingles", ids[rows], pa.array([sets[i].tobytes() for i in rows], pa.binary()))
 
-    found = texts_of(docs).select("text").mapInArrow(run, "sid long, shingles binary")
-    if few is None:
-        found = found.join(wanted, "sid", "left_semi")
-    return cut(found.dropDuplicates(["sid"]), "ngram-shingles")
-
-
-def jaccard_links(docs: DataFrame, frequent: int = 1 << 16, block: int = 2048) -> tuple[DataFrame, DataFrame, list[str]]:
+def jaccard_links(docs: DataFrame, frequent: int = 1 << 18, block: int = 2048) -> tuple[DataFrame, DataFrame, list[str]]:
     """Documents (doc_id, n, sid), links (a, b) between sets that join every class, and the scratch paths they read."""
     spark = docs.sparkSession
     prepared, p_prepared = _prepare(docs, frequent)
@@ -420,45 +421,57 @@ def jaccard_links(docs: DataFrame, frequent: int = 1 << 16, block: int = 2048) -
     members = groups.select("sid").distinct()
     wide = prepared.where("sig is not null").select("sid", "n", "sig").join(members, "sid", "left_semi").dropDuplicates(["sid"])
     wide, p_wide = cut(wide, "ngram-members")
-    sets, p_sets = _sets(docs, members)
     n = shuffle_partitions(spark)
-    sizes, p_sizes = cut(groups.groupBy("gid").agg(F.count("*").alias("size"), F.min("sid").alias("first")), "ngram-sizes")
+    # A group's first is its set of most groups: the original of a family rather than one of its edited copies.
+    degree = groups.groupBy("sid").agg(F.count("*").alias("degree"))
+    lead = F.max(F.struct("degree", "sid"))["sid"]
+    sizes, p_sizes = cut(groups.join(degree, "sid").groupBy("gid").agg(F.count("*").alias("size"), lead.alias("first")), "ngram-sizes")
 
     def star(batches):
         for batch in batches:
-            _, sid, first, size, first_size, sig, first_sig = (batch.column(i) for i in range(7))
-            keep = []
-            for i, (s, f, m, k, x, y) in enumerate(zip(sid.to_pylist(), first.to_pylist(), size.to_pylist(), first_size.to_pylist(), sig.to_pylist(), first_sig.to_pylist())):
-                if could_link(m, x, k, y):
-                    keep.append(i)
-            yield _batch("a b", first.take(pa.array(keep, pa.int64())), sid.take(pa.array(keep, pa.int64())))
-
-    own = groups.join(sizes, "gid").where("sid <> first").select("first", "sid").distinct()
-    pairs = own.join(wide, "sid").join(wide.select(F.col("sid").alias("first"), F.col("n").alias("first_n"), F.col("sig").alias("first_sig")), "first")
-    pairs = pairs.select(F.lit(0).alias("o"), "sid", "first", "n", "first_n", "sig", "first_sig").mapInArrow(star, "a long, b long")
-    links, p_links = cut(_verify(docs, pairs, sets), "ngram-links")
+            keep = [could_link(*row) for row in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))]
+            keep = pa.array(keep, pa.bool_())
+            yield _batch("a b", batch.column(0).filter(keep), batch.column(1).filter(keep))
+
+    own = groups.join(sizes, "gid").where("sid <> first").select(F.least("first", "sid").alias("first"), F.greatest("first", "sid").alias("sid")).distinct()
+    other = wide.select(F.col("sid").alias("first"), F.col("n").alias("first_n"), F.col("sig").alias("first_sig"))
+    near = (F.col("n") * 5 >= F.col("first_n") * 4) & (F.col("first_n") * 5 >= F.col("n") * 4)
+    sized = own.join(wide.select("sid", "n"), "sid").join(other.select("first", "first_n"), "first").where(near).select("first", "sid")
+    pairs = sized.join(wide, "sid").join(other, "first").select("first", "sid", "n", "sig", "first_n", "first_sig").mapInArrow(star, "a long, b long")
+    pairs, p_pairs = cut(pairs, "ngram-pairs")
+    links, p_links = _verify(docs, prepared, pairs, "ngram-first")
     classes, p_classes = components(links, "ngram-first")
 
     def descend(batches):
+        held = []
+
+        def once():
+            pairs_ = np.unique(np.concatenate(held), axis=0)
+            held.clear()
+            return _batch("a b", np.ascontiguousarray(pairs_[:, 0]), np.ascontiguousarray(pairs_[:, 1]))
+
         for g in groups_in(batches, 3):
             _, i, j, side, sid, size, sig, comp = (g.column(k) for k in range(8))
             cross = i[0].as_py() != j[0].as_py()
-            own = comp.to_numpy()
-            _, own = np.unique(own, return_inverse=True)
-            a, b = candidate_pairs(sid.to_numpy(), size.to_numpy(), sig.to_pylist(), own, side.to_numpy() if cross else None)
-            yield _batch("a b", a, b)
+            _, classes_ = np.unique(comp.to_numpy(), return_inverse=True)
+            a, b = candidate_pairs(sid.to_numpy(), size.to_numpy(), sig.to_pylist(), classes_, side.to_numpy() if cross else None)
+            held.append(np.stack([a, b], axis=1))
+            if sum(map(len, held)) > 1 << 18:
+                yield once()
+        if held:
+            yield once()
 
-    labelled = wide.join(classes.select(F.col("node").alias("sid"), "component"), "sid", "left").select("sid", "n", "sig", F.coalesce("component", "sid").alias("component"))
     k = F.ceil(F.col("size") / block).cast("int")
-    left = groups.join(sizes, "gid").where("size > 2").withColumn("k", k).withColumn("c", F.pmod(F.xxhash64("sid"), "k").cast("int"))
-    left = left.join(labelled, "sid")
+    left = groups.join(sizes.where("size > 2"), "gid").withColumn("k", k).withColumn("c", F.pmod(F.xxhash64("sid"), "k").cast("int"))
+    left = left.join(wide.select("sid", "n"), "sid").join(classes.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     # Groups whose sets are of one class need no second look.
     open_groups = left.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gid")
-    left = left.join(open_groups, "gid", "left_semi")
+    left = left.join(open_groups, "gid", "left_semi").join(wide.select("sid", "sig"), "sid")
     dealt = left.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("gid", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.when(F.col("c") > F.col("o"), 1).otherwise(0).alias("side"), "sid", "n", "sig", "component")
     more = dealt.repartition(n, "gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(descend, "a long, b long").distinct()
-    second, p_second = cut(_verify(docs, more, sets), "ngram-more")
-    forget(spark, p_groups, p_wide, p_sizes, p_sets, p_classes)
+    more, p_more = cut(more, "ngram-more")
+    second, p_second = _verify(docs, prepared, more, "ngram-second")
+    forget(spark, p_groups, p_wide, p_sizes, p_pairs, p_more, p_classes)
     return prepared.select("doc_id", "n", "sid"), links.union(second), [p_prepared, p_links, p_second]
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,20 +51,48 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def components(edges: DataFrame, label: str, rounds: int = 60) -> tuple[DataFrame, str]:
-    """Connected components of edges (a, b) by alternating large and small stars.
+def components(edges: DataFrame, label: str, rounds: int = 60, bound: int = 1 << 20) -> tuple[DataFrame, str]:
+    """Connected components of edges (a, b): (node, component), the component being the smallest node reachable.
 
-    Returns (node, component), the component being the smallest node reachable, for nodes
-    that have an edge to another node. Each round is an aggregate and a join on the node;
-    edges live in scratch tables, and the driver sees two sums a round.
+    Nodes without an edge to another are left out. Up to `bound` edges are joined by one task, in
+    16 MB; beyond, large and small stars alternate. Either way edges live in scratch tables,
+    and the driver sees their count alone.
     """
-    spark = edges.sparkSession
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, path = cut(edges, f"{label}-edges")
     seen = _state(edges)
+    if seen[0] <= bound:
+        found, new = cut(edges.coalesce(1).mapInArrow(_join, "node long, component long"), f"{label}-components")
+        forget(edges.sparkSession, path)
+        return found, new
+    return _stars(edges, path, seen, label, rounds)
+
+
+def _join(batches):
+    """Smallest reachable node of each node, by passing labels along edges and jumping to the label's label."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if parts:
+        u, v = (np.concatenate(c) for c in zip(*parts))
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        i, j = at[: len(u)], at[len(u) :]
+        least = np.arange(len(nodes))
+        while True:
+            new = least.copy()
+            np.minimum.at(new, least[i], least[j])
+            np.minimum.at(new, least[j], least[i])
+            np.minimum.at(new, i, new[j])
+            np.minimum.at(new, j, new[i])
+            new = new[new]
+            if (new == least).all():
+                break
+            least = new
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[least])], ["node", "component"])
+
+
+def _stars(edges: DataFrame, path: str, seen: tuple, label: str, rounds: int) -> tuple[DataFrame, str]:
+    """Each round is two aggregates and two joins on the node, until the edges stay the same."""
+    spark = edges.sparkSession
     for _ in range(rounds):
-        if not seen[0]:
-            break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
