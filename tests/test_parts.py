@@ -112,3 +112,26 @@ def test_data_source(spark, tmp_path):
         assert read.option("key", "k007").load().count() == 2
         assert spark.read.format("tidemark").option("path", path).option("start", "k010").option("end", "k019").load().count() == 10
         assert spark.read.format("tidemark").option("path", path).option("snapshot", "5").load().count() == 5
+
+
+def test_many_ranges(spark):
+    rng = random.Random(8)
+    rows = [(f"k{rng.randrange(80):03d}", i + 1, rng.random() < 0.2, f"v{i}") for i in range(400)]
+    log = spark.createDataFrame(rows, "key string, seq long, tombstone boolean, value string").repartition(3)
+    spans = [(i, f"k{a:03d}", f"k{a + rng.randrange(-2, 30):03d}") for i, a in enumerate(rng.choices(range(80), k=25))]
+    ranges = spark.createDataFrame(spans, "id long, start string, end string")
+    live = {}
+    for k, _, gone, v in rows:
+        live[k] = None if gone else v
+    want = sorted((i, k, v) for i, a, b in spans for k, v in live.items() if v is not None and a <= k <= b)
+    for bound in (100, 0):
+        assert sorted((r.id, r.key, r.value) for r in resolve.scan_many(log, ranges, bound=bound).collect()) == want
+    assert resolve.scan_many(log, ranges.limit(0)).count() == 0
+
+
+def test_workloads(spark, tmp_path):
+    from tidemark import workloads
+
+    got = workloads.run(spark, f"file://{tmp_path}/w", n=2000, scans=20, writers=(1, 2), durable=10)
+    assert sorted(got) == ["conc_write_1", "conc_write_2", "rand_read_hit", "rand_read_miss", "rand_write", "scan", "seq_write"]
+    assert all(v > 0 for v in got.values())

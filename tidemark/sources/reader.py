@@ -7,8 +7,6 @@ them with operators.resolve. Pending writes of an open table are not in files, a
 
 from __future__ import annotations
 
-import glob
-import os
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -23,16 +21,29 @@ class _File(InputPartition):
         self.path = path
 
 
+def _open(root: str):
+    """The store of a path or URI, and the path in it."""
+    from pyarrow import fs
+
+    if "://" in root:
+        return fs.FileSystem.from_uri(root)
+    return fs.LocalFileSystem(), root
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.root = options["path"].removeprefix("file://").rstrip("/")
+        self.root = options["path"].rstrip("/")
         self.key, self.start, self.end = (options[o].encode() if o in options else None for o in ("key", "start", "end"))
         self.snapshot = int(options.get("snapshot", LATEST))
 
     def partitions(self) -> list[InputPartition]:
+        from pyarrow import fs
+
+        store, base = _open(self.root)
         found = None
-        for name in sorted(glob.glob(os.path.join(self.root, "manifest", "*.json")), reverse=True):
-            with open(name, "rb") as f:
+        listed = [f.path for f in store.get_file_info(fs.FileSelector(f"{base}/manifest", allow_not_found=True)) if f.path.endswith(".json")]
+        for name in sorted(listed, reverse=True):
+            with store.open_input_stream(name) as f:
                 found = manifest.decode(f.read())
             if found is not None:
                 break
@@ -42,7 +53,7 @@ class _Reader(DataSourceReader):
             files = pruning.for_point(found, self.key, self.snapshot)
         else:
             files = pruning.for_range(found, self.start, self.end, self.snapshot)
-        return [_File(os.path.join(self.root, f.path)) for f in files]
+        return [_File(f.path) for f in files]
 
     def read(self, partition: _File) -> Iterator:
         import pyarrow.compute as pc
@@ -55,7 +66,9 @@ class _Reader(DataSourceReader):
             keep &= pc.field("key") >= self.start
         if self.end is not None:
             keep &= pc.field("key") <= self.end
-        yield from ds.dataset(partition.path, format="parquet").to_batches(columns=["key", "seq", "tombstone", "value"], filter=keep)
+        store, base = _open(self.root)
+        data = ds.dataset(f"{base}/{partition.path}", format="parquet", filesystem=store)
+        yield from data.to_batches(columns=["key", "seq", "tombstone", "value"], filter=keep)
 
 
 class TableSource(DataSource):
