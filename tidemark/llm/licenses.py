@@ -2,8 +2,8 @@
 
 A block is a line; its words are runs of digits, letters a to z (after lower-casing A to Z)
 and characters beyond ASCII. A block meets a template when it holds at least `threshold` of
-the template's distinct words. Template words are ordered by how often they occur in the whole
-table, rarest first; a template's prefix is its first |T| - a + 1 words, a the overlap it
+the template's distinct words. Template words are ordered by the number of documents of the
+whole table that hold them, rarest first; a template's prefix is its first |T| - a + 1 words, a the overlap it
 asks for, so a block without a prefix word can't meet it. Surviving blocks pass the length filter
 (at least a words of the vocabulary) and the positional filter (words left in either after
 the first shared word), then the overlap is counted. The templates are fixed and few, so the
@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import math
 import string
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,16 +52,34 @@ TEMPLATES = [
 ]
 
 
+def _words(text):
+    """A lower-cased text's words, with an empty one before or after them where the text begins or ends with none."""
+    return F.split(text, _GAP, -1)
+
+
+def _count(words):
+    """How many of these are words."""
+    ends = (F.element_at(words, 1) == "").cast("int") + ((F.size(words) > 1) & (F.element_at(words, -1) == "")).cast("int")
+    return (F.size(words) - ends).cast("long")
+
+
+def _literal(words):
+    return F.array(*map(F.lit, words))
+
+
 def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every document.
 
     score is 1 for a document with a phrase, else the largest share of a template that a block
     of it holds, among those met; 0 without any.
     """
-    rows = texts_of(docs).select("doc_id", F.translate("text", string.ascii_uppercase, string.ascii_lowercase).alias("t"))
+    # lower() turns these two, alone of all beyond ASCII, into ASCII letters; other letters beyond it may change case.
+    text = F.lower(F.replace(F.replace("text", F.lit("\u212a"), F.lit("\u0138")), F.lit("\u0130"), F.lit("\u0131")))
+    rows = texts_of(docs).select("doc_id", text.alias("t")).withColumn("words", _words("t"))
     vocabulary = sorted({w for _, text in templates for w in text.split()})
-    counted = rows.select(F.explode(F.regexp_extract_all("t", F.lit(WORD), F.lit(0))).alias("w")).where(F.col("w").isin(vocabulary))
-    counts = {r["w"]: r["count"] for r in counted.groupBy("w").count().collect()}  # one row for each template word
+    # The number of documents that hold each template word: one row a word comes to the driver.
+    held = rows.select(F.explode(F.array_intersect(_literal(vocabulary), "words")).alias("w")).groupBy("w").count()
+    counts = {r["w"]: r["count"] for r in held.collect()}
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     sets = []
     for label, text in templates:
@@ -67,39 +87,40 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshol
         needed = math.ceil(threshold * len(own) - 1e-9)
         sets.append((label, own, needed, own[: len(own) - needed + 1]))
     prefixes = sorted({w for *_, prefix in sets for w in prefix})
-    probe = f"{_BEFORE}(?:{'|'.join(prefixes)}){_AFTER}"
 
-    def literal(words):
-        return F.array(*map(F.lit, words))
-
-    def held(own, needed, prefix):
+    def share_of(own, needed, prefix):
         """Of a block, its vocabulary words in global order, the share of a template it holds; null if it is not met."""
 
         def share(block):
-            first = F.element_at(F.array_intersect(literal(prefix), block), 1)
-            room = F.least(F.lit(len(own) + 1) - F.array_position(literal(own), first), F.size(block) + 1 - F.array_position(block, first))
-            overlap = F.size(F.array_intersect(block, literal(own)))
-            candidate = (F.size(block) >= needed) & F.arrays_overlap(block, literal(prefix))
+            first = F.element_at(F.array_intersect(_literal(prefix), block), 1)
+            room = F.least(F.lit(len(own) + 1) - F.array_position(_literal(own), first), F.size(block) + 1 - F.array_position(block, first))
+            overlap = F.size(F.array_intersect(block, _literal(own)))
+            candidate = (F.size(block) >= needed) & F.arrays_overlap(block, _literal(prefix))
             return F.when(candidate, F.when(room >= needed, F.when(overlap >= needed, overlap / F.lit(float(len(own))))))
 
         return share
 
-    blocks = F.transform(
-        F.filter(F.split("t", "\n", -1), lambda b: b.rlike(probe)),
-        lambda b: F.array_intersect(literal(order), F.regexp_extract_all(b, F.lit(WORD), F.lit(0))),
-    )
+    blocks = F.filter(F.transform(F.split("t", "\n", -1), lambda b: F.array_intersect(_literal(order), _words(b))), lambda b: F.arrays_overlap(b, _literal(prefixes)))
     phrase = f"{_BEFORE}(?:{'|'.join(_GAP.join(p.split()) for p in phrases)}){_AFTER}"
-    at, total = F.regexp_count("t", F.lit(WORD)).cast("long"), F.col("n_words")
-    found = rows.withColumns({"n_words": at, "blocks": F.when(F.col("t").rlike(probe), blocks), "places": F.when(F.col("t").rlike(phrase), F.regexp_extract_all("t", F.lit(phrase), F.lit(0))), "around": F.when(F.col("t").rlike(phrase), F.split("t", phrase, -1))})
-    words = lambda c: F.regexp_count(c, F.lit(WORD)).cast("long")
-    n_base = F.coalesce(F.size(F.when(F.col("places").isNotNull(), F.col("places"))), F.lit(0))
-    label_of = lambda p: F.coalesce(*[F.when(F.array_join(F.regexp_extract_all(p, F.lit(WORD), F.lit(0)), " ") == k, F.lit(v)) for k, v in phrases.items()])
+    hits = _literal(sorted({*prefixes, *(w for p in phrases for w in p.split())}))
+    seen = rows.select("doc_id", "t", _count(F.col("words")).alias("n_words"), F.array_intersect(hits, "words").alias("hits"))
+    # A document without all words of some phrase needs no search for one.
+    maybe = reduce(or_, [F.size(F.array_intersect(F.col("hits"), _literal(p.split()))) == len(set(p.split())) for p in phrases])
+    found = seen.select(
+        "doc_id", "n_words",
+        F.when(F.arrays_overlap("hits", _literal(prefixes)), blocks).alias("blocks"),
+        F.when(maybe, F.regexp_extract_all("t", F.lit(phrase), F.lit(0))).alias("places"),
+        F.when(maybe, F.split("t", phrase, -1)).alias("around"),
+    )
+    words = lambda c: _count(_words(c))
+    n_base = F.coalesce(F.greatest(F.size("places"), F.lit(0)), F.lit(0))
+    label_of = lambda p: F.coalesce(*[F.when(F.array_join(_words(p), " ") == k, F.lit(v)) for k, v in phrases.items()])
     base = F.array_sort(F.array_distinct(F.transform(F.coalesce("places", F.array().cast("array<string>")), label_of)))
-    met = [F.array_max(F.transform("blocks", held(*s[1:]))).alias(f"m{i}") for i, s in enumerate(sets)]
+    met = [F.array_max(F.transform("blocks", share_of(*s[1:]))).alias(f"m{i}") for i, s in enumerate(sets)]
     scored = found.select(
         "doc_id", "n_words", n_base.cast("long").alias("n_base"), base.alias("base"),
-        words(F.element_at("around", 1)).alias("first_word"),
-        (total - words(F.element_at("around", -1)) - words(F.element_at("places", -1))).alias("last_word"),
+        F.when(n_base > 0, words(F.element_at("around", 1))).alias("first_word"),
+        F.when(n_base > 0, F.col("n_words") - words(F.element_at("around", -1)) - words(F.element_at("places", -1))).alias("last_word"),
         *met,
     )
     added = F.array_compact(F.array(*[F.when(F.col(f"m{i}").isNotNull(), F.lit(s[0])) for i, s in enumerate(sets)]))
