@@ -150,9 +150,13 @@ class PieceBpe:
                 self.words[w] = self._word(MARK + w) if w and MARK not in w else None
         return list(map(self.words.__getitem__, words))
 
+    def _after_space(self, words: list[str]) -> tuple[pa.Array, np.ndarray]:
+        known = self._marked(words)
+        return pa.array([x or b"" for x in known], pa.large_binary()), np.fromiter((x is None for x in known), bool, len(known))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, without begin and end, as little-endian integers of self.kind."""
-        out = by_word(texts, self._marked, self._marked)
+        out = by_word(texts, self._after_space, self._marked)
         for i, ids in enumerate(out):
             if ids is None:  # runs of spaces, or the mark itself
                 text = MARK + texts[i].replace(" ", MARK) if texts[i] else ""

@@ -24,27 +24,27 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 def by_word(texts: list[str], ids_of, first_of) -> list[bytes | None]:
     """Each text's ids, put together from those of its space-separated words.
 
-    ids_of and first_of map a list of distinct words, after a space and at a text's start,
-    to their ids, None for a word that has to be seen in its text; the text's result is then
-    None. Splitting, numbering and joining run in Arrow, Python sees distinct words alone.
+    ids_of maps distinct words, as they stand after a space, to a binary array of their ids and
+    a mask of words that have to be seen in their text; first_of maps words at a text's start
+    to ids, or None for such a word. A text with one of those gives None. Splitting, numbering
+    and joining run in Arrow; Python sees distinct words alone.
     """
     if not texts:
         return []
     lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
     starts, words = np.asarray(lists.offsets), lists.values.dictionary_encode()
     codes, distinct = words.indices, words.dictionary.to_pylist()
-    known = ids_of(distinct)
-    odd = np.fromiter((x is None for x in known), bool, len(known))
-    at_start = np.zeros(len(codes), bool)
-    at_start[starts[:-1]] = True
+    known, odd = ids_of(distinct)
+    firsts = [distinct[c] for c in np.asarray(codes)[starts[:-1]].tolist()]
     odd_texts = set()
     if odd.any():
+        at_start = np.zeros(len(codes), bool)
+        at_start[starts[:-1]] = True
         places = np.flatnonzero(odd[np.asarray(codes)] & ~at_start)
         odd_texts = set((np.searchsorted(starts, places, "right") - 1).tolist())
-    joined = pa.array([x or b"" for x in known], pa.large_binary()).take(codes)
+    joined = known.take(codes)
     ends = np.frombuffer(joined.buffers()[1], np.int64)[: len(codes) + 1]
     raw = memoryview(joined.buffers()[2] or b"")
-    firsts = [distinct[c] for c in np.asarray(codes)[starts[:-1]].tolist()]
     unique = list(dict.fromkeys(firsts))
     heads = dict(zip(unique, first_of(unique)))
     a, b = ends[starts[:-1] + 1].tolist(), ends[starts[1:]].tolist()
@@ -52,7 +52,7 @@ def by_word(texts: list[str], ids_of, first_of) -> list[bytes | None]:
 
 
 class ByteBpe:
-    """Encoder for one tokenizer file. capacity bounds the cached words; results don't depend on it."""
+    """Encoder for one tokenizer file. capacity bounds the cached pre-tokens; results don't depend on it."""
 
     def __init__(self, path: str, capacity: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,7 +66,7 @@ class ByteBpe:
             self.opens[i] = token.startswith("Ġ")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.capacity = capacity
-        self.words, self.tokens = {}, {}
+        self.tokens: dict[str, bytes] = {}
         self.split = regex.compile(PATTERN).findall
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -88,18 +88,27 @@ class ByteBpe:
         rest = [t for t in tokens if t not in self.tokens]
         self.tokens.update(zip(rest, self.whole(rest)))
 
-    def _after_space(self, words: list[str]) -> list[bytes | None]:
-        if len(self.words) > self.capacity:
-            self.words.clear()
+    def _after_space(self, words: list[str]) -> tuple[pa.Array, np.ndarray]:
+        odd = np.fromiter((not w or w[0].isspace() for w in words), bool, len(words))
+        for special in self.special:
+            odd |= np.fromiter((special in w for w in words), bool, len(words))
+        plain = [w for w, o in zip(words, odd) if not o] if odd.any() else words
+        # Words that follow each other after single spaces split as each does alone.
+        parts = pa.array(self.split(" " + " ".join(plain)) if plain else [], pa.large_string())
+        coded = parts.dictionary_encode()
+        opens = np.flatnonzero(np.asarray(pc.starts_with(parts, " ")))
+        if len(opens) != len(plain):
+            raise AssertionError("a word was split in an unknown way")
+        tokens = coded.dictionary.to_pylist()
         if len(self.tokens) > self.capacity:
             self.tokens.clear()
-        new = [w for w in words if w not in self.words]
-        odd = [w for w in new if not w or w[0].isspace() or any(s in w for s in self.special)]
-        self.words.update(dict.fromkeys(odd))
-        split = [(w, self.split(" " + w)) for w in new if w not in self.words]
-        self._ids([t for t in dict.fromkeys(t for _, parts in split for t in parts) if t not in self.tokens])
-        self.words.update((w, b"".join(map(self.tokens.__getitem__, parts))) for w, parts in split)
-        return list(map(self.words.__getitem__, words))
+        self._ids([t for t in tokens if t not in self.tokens])
+        joined = pa.array(list(map(self.tokens.__getitem__, tokens)), pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(joined.buffers()[1], np.int64)[: len(parts) + 1] if len(parts) else np.zeros(1, np.int64)
+        sizes = np.zeros(len(words), np.int64)
+        sizes[~odd] = np.diff(np.append(ends[opens], ends[-1]))
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(offsets), joined.buffers()[2] if len(parts) else pa.py_buffer(b"")]), odd
 
     def _at_start(self, words: list[str]) -> list[bytes | None]:
         return [None if any(s in w for s in self.special) else ids for w, ids in zip(words, self.whole(words))]
