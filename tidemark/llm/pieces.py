@@ -150,7 +150,7 @@ class PieceBpe:
                 self.words[w] = self._word(MARK + w) if w and MARK not in w else None
         return list(map(self.words.__getitem__, words))
 
-    def _after_space(self, words: list[str]) -> tuple[pa.Array, np.ndarray]:
+    def _after_space(self, words: list[str], _array: pa.Array) -> tuple[pa.Array, np.ndarray]:
         known = self._marked(words)
         return pa.array([x or b"" for x in known], pa.large_binary()), np.fromiter((x is None for x in known), bool, len(known))
 

@@ -24,8 +24,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 def by_word(texts: list[str], ids_of, first_of) -> list[bytes | None]:
     """Each text's ids, put together from those of its space-separated words.
 
-    ids_of maps distinct words, as they stand after a space, to a binary array of their ids and
-    a mask of words that have to be seen in their text; first_of maps words at a text's start
+    ids_of maps distinct words, as they stand after a space (a list and an array of them), to a
+    binary array of their ids and a mask of words that have to be seen in their text; first_of maps words at a text's start
     to ids, or None for such a word. A text with one of those gives None. Splitting, numbering
     and joining run in Arrow; Python sees distinct words alone.
     """
@@ -34,7 +34,7 @@ def by_word(texts: list[str], ids_of, first_of) -> list[bytes | None]:
     lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
     starts, words = np.asarray(lists.offsets), lists.values.dictionary_encode()
     codes, distinct = words.indices, words.dictionary.to_pylist()
-    known, odd = ids_of(distinct)
+    known, odd = ids_of(distinct, words.dictionary)
     firsts = [distinct[c] for c in np.asarray(codes)[starts[:-1]].tolist()]
     odd_texts = set()
     if odd.any():
@@ -88,10 +88,11 @@ class ByteBpe:
         rest = [t for t in tokens if t not in self.tokens]
         self.tokens.update(zip(rest, self.whole(rest)))
 
-    def _after_space(self, words: list[str]) -> tuple[pa.Array, np.ndarray]:
-        odd = np.fromiter((not w or w[0].isspace() for w in words), bool, len(words))
+    def _after_space(self, words: list[str], array: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        odd = pc.or_(pc.equal(array, ""), pc.utf8_is_space(pc.utf8_slice_codeunits(array, 0, 1)))
         for special in self.special:
-            odd |= np.fromiter((special in w for w in words), bool, len(words))
+            odd = pc.or_(odd, pc.match_substring(array, special))
+        odd = np.asarray(odd)
         plain = [w for w, o in zip(words, odd) if not o] if odd.any() else words
         # Words that follow each other after single spaces split as each does alone.
         parts = pa.array(self.split(" " + " ".join(plain)) if plain else [], pa.large_string())
