@@ -32,11 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, cut, forget, shuffle_partitions, texts_of
+from .shared import components, cut, forget, fresh_worker, shuffle_partitions, texts_of, trim
 
 WORDS = 5
 _C = np.uint64(0x9E3779B97F4A7C15)
-SLICE = 1 << 22
+SLICE = 1 << 21
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -259,6 +259,7 @@ def frequent_shingles(docs: DataFrame, most: int, each: int = 1 << 15) -> np.nda
     def count(batches):
         held, size, seen = [], 0, set()
         known = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        fresh_worker()
 
         def settle(known):
             s, c = np.unique(np.concatenate(held), return_counts=True) if held else known
@@ -278,13 +279,15 @@ def frequent_shingles(docs: DataFrame, most: int, each: int = 1 << 15) -> np.nda
                         seen.add(own)
                         held.append(s)
                         size += len(s)
-                if size > 1 << 22:
+                if size > 1 << 20:
                     known, size = settle(known), 0
                     held.clear()
         s, c = settle(known)
         top = np.argsort(-c, kind="stable")[:each]
         top = top[c[top] > 1]
         yield _batch("shingle n", s[top].astype(np.int64), c[top])
+        seen.clear()
+        trim()
 
     counted = texts_of(docs).select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     # At most `most` rows of two numbers.
@@ -309,6 +312,7 @@ def _prepare(docs: DataFrame, frequent: int) -> tuple[DataFrame, str]:
 
     def prepare(batches):
         seen = set()
+        fresh_worker()
         for batch in batches:
             for at, part in slices(batch.column(1).to_pylist()):
                 sets = shingle_sets(part)
@@ -319,6 +323,8 @@ def _prepare(docs: DataFrame, frequent: int) -> tuple[DataFrame, str]:
                     sigs.append(signature(s) if first else None)
                     prefixes.append(in_order(s, listed, rank)[: len(s) - needed(len(s)) + 1].tobytes() if first else None)
                 yield _batch("doc_id n sid sig prefix", batch.column(0).slice(at, len(part)), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array(sigs, pa.binary()), pa.array(prefixes, pa.binary()))
+        seen.clear()
+        trim()
 
     return cut(texts_of(docs).mapInArrow(prepare, "doc_id long, n long, sid long, sig binary, prefix binary"), "ngram-sets")
 
@@ -365,6 +371,7 @@ def _groups(prepared: DataFrame) -> DataFrame:
         out = settle(rest_t, rest_s)
         if out is not None:
             yield out
+        trim()
 
     spark = prepared.sparkSession
     tokens = prepared.where("prefix is not null").select("sid", "prefix").mapInArrow(explode, "token long, sid long")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, texts_of
+from .shared import cut, texts_of, trim
 from .tokens import encoder
 
 
@@ -67,6 +67,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, room: int = 2048, end_id: int =
     """doc_id, piece, start, length, ids_crc32 of every piece, with task and rank, its place among the task's pieces of that length."""
 
     def pieces(batches):
+        trim()
         bpe, seen, task = encoder(tokenizer), Counter(), TaskContext.get().partitionId()
         for batch in batches:
             out = []

@@ -175,14 +175,14 @@ class PieceBpe:
             return "".join(c if not 0xDC80 <= ord(c) <= 0xDCFF else "�" for c in raw.decode(errors="surrogateescape"))
 
 
-_models: dict[str, PieceBpe] = {}
+loaded: dict[str, PieceBpe] = {}
 
 
 def model(path: str) -> PieceBpe:
     """One model for each Python worker, which outlives a task."""
-    if path not in _models:
-        _models[path] = PieceBpe(path)
-    return _models[path]
+    if path not in loaded:
+        loaded[path] = PieceBpe(path)
+    return loaded[path]
 
 
 def _map(docs: DataFrame, path: str, make, columns: list[tuple[str, pa.DataType, str]]) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 
@@ -42,6 +45,24 @@ def forget(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def fresh_worker() -> None:
+    """Give up what operators that ran earlier in this Python worker still hold: caches and freed buffers."""
+    for name in ("tokens", "pieces"):
+        module = sys.modules.get(f"{__package__}.{name}")
+        if module is not None:
+            module.loaded.clear()
+    trim()
+
+
+def trim() -> None:
+    """Hand freed memory back to the machine, which idle Python workers would keep."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

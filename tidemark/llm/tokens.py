@@ -54,7 +54,7 @@ def by_word(texts: list[str], ids_of, first_of) -> list[bytes | None]:
 class ByteBpe:
     """Encoder for one tokenizer file. capacity bounds the cached pre-tokens; results don't depend on it."""
 
-    def __init__(self, path: str, capacity: int = 900_000):
+    def __init__(self, path: str, capacity: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -123,11 +123,11 @@ class ByteBpe:
         return out
 
 
-_encoders: dict[str, ByteBpe] = {}
+loaded: dict[str, ByteBpe] = {}
 
 
 def encoder(path: str) -> ByteBpe:
     """One encoder for each Python worker, which outlives a task."""
-    if path not in _encoders:
-        _encoders[path] = ByteBpe(path)
-    return _encoders[path]
+    if path not in loaded:
+        loaded[path] = ByteBpe(path)
+    return loaded[path]
