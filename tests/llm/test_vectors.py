@@ -93,3 +93,15 @@ def test_fewer_candidates_than_asked(spark):
     t = table(spark, [0, 100, 7], np.eye(3))
     got = sorted((r.query_id, r.rank, r.vec_id) for r in nearest(t).collect())
     assert got == [(0, 1, 7), (0, 2, 100), (100, 1, 0), (100, 2, 7)]
+
+
+def test_more_copies_than_asked_in_the_sample(spark):
+    rng = np.random.default_rng(6)
+    for width, scale in ((64, 1.0), (64, 1e4), (64, 1e-5), (7, 1.0)):
+        x = np.float32(rng.normal(size=(900, width)) * scale).astype(float)
+        for f in range(0, 900, 100):
+            x[f : f + 30] = x[f]
+        got = {}
+        for r in nearest(table(spark, np.arange(900), x)).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
+        assert {q: sorted(rows) for q, rows in got.items()} == {q: [(n, 0.0, q + n) for n in range(1, 11)] for q in range(0, 900, 100)}

@@ -27,6 +27,8 @@ from .vectors import common_width, stack, valid_vectors
 
 COLUMNS = 16
 CHUNK = 4096
+#: Units in the last place, for each column, that a squared distance may be off, as a share of the squared norms.
+ROUNDING = 16
 
 
 def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -98,24 +100,28 @@ def scan(query_ids, q, bounds, ids, x, rotation, k: int, confidence: float) -> t
     """Rows (query, candidate, distance) of each query's k nearest of a list, by the adaptive scan."""
     width = x.shape[1]
     rx, rq = x @ rotation, q @ rotation
+    # What rounding can add to a squared distance, of the expanded form or of turned vectors.
+    tiny = ROUNDING * width * np.finfo(float).eps
+    of_q, of_x = tiny * (q * q).sum(1), tiny * (x * x).sum(1)
     out = []
     for at in range(0, len(q), 64):
         part = slice(at, at + 64)
+        slack = of_q[part, None] + of_x
         r2 = bounds[part] ** 2 * (1 + 1e-9)
         if len(x) > 4 * k:  # a few whole distances bound the rest
-            few = squared(q[part], x[: 4 * k])
+            few = squared(q[part], x[: 4 * k]) + slack[:, : 4 * k]
             few[query_ids[part, None] == ids[: 4 * k]] = np.inf
-            r2 = np.minimum(r2, np.partition(few, k - 1, axis=1)[:, k - 1] * (1 + 1e-9) + 1e-12)
+            r2 = np.minimum(r2, np.partition(few, k - 1, axis=1)[:, k - 1] * (1 + 1e-9))
         done = min(COLUMNS, width)
         d2 = squared(rq[part, :done], rx[:, :done])
-        keep = (d2 * (width / done) <= r2[:, None] * (1 + confidence / np.sqrt(done)) ** 2) & (query_ids[part, None] != ids)
+        keep = ((d2 - slack) * (width / done) <= r2[:, None] * (1 + confidence / np.sqrt(done)) ** 2) & (query_ids[part, None] != ids)
         i, j = np.nonzero(keep)
         d2 = d2[i, j]
         while done < width and len(i):
             more = min(done + COLUMNS, width)
             d2 = d2 + ((rq[at + i, done:more] - rx[j, done:more]) ** 2).sum(axis=1)
             done = more
-            limit = r2[i] * ((1 + confidence / np.sqrt(done)) ** 2 * done / width if done < width else 1 + 1e-9) + 1e-12
+            limit = r2[i] * ((1 + confidence / np.sqrt(done)) ** 2 * done / width if done < width else 1 + 1e-9) + slack[i, j]
             alive = d2 <= limit
             i, j, d2 = i[alive], j[alive], d2[alive]
         if len(i):
