@@ -60,3 +60,30 @@ def test_table(spark):
     assert got[0][2] == got[1][2] == main_text(PAGE)
     assert (2, None, "", 0) in got and (None, "v", "", 0) in got
     assert extract(pages.limit(0)).count() == 0
+
+
+def prose(n):
+    return "".join(f"<p>Paragraph {i} of this text goes on for some words, as the paragraphs of most texts will.</p>" for i in range(n))
+
+
+def test_names_that_tell_of_a_subject():
+    plain = main_text(PAGE)
+    for attributes in ('class="post-12 type-post category-search tag-social tag-form"', 'id="discussion"', 'class="post share related"', 'aria-label="Banner notice"'):
+        assert main_text(PAGE.replace("<article>", f"<article {attributes}>")) == plain
+    for tag in ('section id="discussion"', 'section id="related-work"', 'div id="history-of-advertising"', 'div class="category-search"', 'section id="form"'):
+        page = f'<nav><a href="/">Home</a></nav><article><h1>Title</h1>{prose(3)}<{tag}><h2 id="search">Results</h2>{prose(3)}</{tag.split()[0]}></article>'
+        assert main_text(page).split("\n") == ["Title", *main_text("<article>" + prose(3)).split("\n"), "Results", *main_text("<article>" + prose(3)).split("\n")], tag
+    assert main_text('<article><h2 id="related-work">Related work</h2><p>See the others.</p></article>') == "Related work\nSee the others."
+
+
+def test_much_text_outweighs_a_name():
+    whole = main_text("<article>" + prose(60))
+    for name in ("social", "search-form", "related", "banner"):
+        assert main_text(f'<div class="{name}">{prose(60)}</div>') == whole
+        assert main_text(f'<article>{prose(9)}</article><div class="{name}">{prose(2)}</div>') == main_text("<article>" + prose(9))
+        links = "".join(f'<li><a href="/{i}">Another page of this site, with a long title of many words</a></li>' for i in range(60))
+        assert main_text(f'<main>{prose(9)}<div class="{name}"><ul>{links}</ul></div></main>') == main_text("<article>" + prose(9))
+    assert main_text(f'<div class="sidebar">{prose(300)}</div>') == main_text("<article>" + prose(300))
+    for name in ("comments", "sidebar", "newsletter"):
+        assert main_text(f'<article>{prose(20)}<div class="{name}">{prose(40)}</div></article>') == main_text("<article>" + prose(20))
+    assert main_text(f'<article>{prose(2)}<div class="post" hidden>{prose(60)}</div><div role="dialog">{prose(4)}</div></article>') == main_text("<article>" + prose(2))

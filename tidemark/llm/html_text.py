@@ -3,7 +3,9 @@
 A page is cut into blocks: runs of text between block-level tags, in page order. A linear
 classifier gives each block a cost for being called content and one for being called
 boilerplate, from its ancestors' tags, classes and ids, its length and its share of link text;
-these are the capacities of its edges from the source and to the sink. Edges between
+these are the capacities of its edges from the source and to the sink. Names such as "sidebar"
+cost a container's blocks a finite amount, which much text with few links in it, also in proportion
+to the rest of the page, outweighs; they don't count on articles and headings. Edges between
 neighbouring blocks, and between blocks next to each other in one container, cost what a
 label change there costs, less the farther apart the blocks are in the tree. A maximum flow
 finds the labelling of least cost; blocks on the source's side are content.
@@ -35,12 +37,17 @@ RAW = frozenset("script style template noscript textarea title iframe noembed no
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: What a tag says about the text in it: above 0, content.
 TAGS = {"article": 3.0, "main": 2.5, "p": 0.8, "blockquote": 0.4, "pre": 0.8, "h1": 0.6, "h2": 0.4, "h3": 0.4, "h4": 0.2, "figcaption": 0.2, "td": 0.1, "nav": -9.0, "menu": -7.0, "header": -6.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "button": -9.0, "dialog": -9.0, "fieldset": -9.0, "label": -2.0, "address": -1.0}
-#: And a word of a class, id or role.
+#: And a word of a class, id or role: what names boilerplate on most pages, and what also names a subject.
+SURE, LOOSE, ANCHOR = -12.0, -6.0, -4.0
 NAMES = {
-    **dict.fromkeys("nav navbar navigation menu breadcrumb breadcrumbs footer sidebar sidenav aside advert adverts advertisement advertising ad ads adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login form search comment comments commentlist disqus reply replies respond discussion related recommended share sharing social widget toolbar masthead pagination pager copyright complementary contentinfo dialog toc tags topbar paywall skip".split(), -9.0),
+    **dict.fromkeys("nav navbar menu breadcrumb breadcrumbs footer sidebar sidenav advert adverts advertisement ad ads adsbygoogle sponsored cookie gdpr popup modal overlay newsletter signup login comment comments commentlist disqus widget toolbar masthead pagination pager complementary contentinfo topbar paywall".split(), SURE),
+    **dict.fromkeys("navigation aside advertising sponsor promo promotion banner cookies consent notice notices alert subscribe subscription form search reply replies respond discussion related recommended share sharing social copyright dialog toc tags skip".split(), LOOSE),
     **dict.fromkeys("header meta byline author tag hidden teaser more".split(), -2.5),
     **dict.fromkeys("article articlebody post entry story main content body text page blog mainarticle".split(), 1.5),
 }
+#: Tags that names can't make boilerplate, and words before a subject's own, as in "category-search".
+_NEVER = frozenset("article main h1 h2 h3 h4 h5 h6".split())
+_SUBJECT = frozenset("category cat tag topic term keyword".split())
 #: A header or the like inside an article may hold its headline.
 _SOFT_IN_ARTICLE = frozenset(["header"])
 #: Words that make a name tell of a layout, such as "has-sidebar", rather than of what is in it.
@@ -49,36 +56,62 @@ BIAS, SMOOTH_NEXT, SMOOTH_NEAR = -0.2, 0.7, 0.5
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "depth", "prior", "article", "last")
+    __slots__ = ("tag", "parent", "depth", "prior", "article", "last", "name", "named")
 
-    def __init__(self, tag, parent, prior):
+    def __init__(self, tag, parent, prior, name=0.0):
         self.tag, self.parent, self.last = tag, parent, None
         self.depth = parent.depth + 1 if parent else 0
         self.article = (parent.article if parent else False) or tag in ("article", "main")
         # Boilerplate inside an article stays boilerplate; an article inside boilerplate too.
         above = parent.prior if parent else 0.0
         self.prior = above + prior if min(above, prior) > -5 else min(above, prior)
+        # The worst name above, and the outermost node that has it.
+        self.name, self.named = (parent.name, parent.named) if parent else (0.0, None)
+        if name < self.name:
+            self.name, self.named = name, self
 
 
-def _prior(tag: str, attributes: str, parent) -> float:
-    score = TAGS.get(tag, 0.0)
+def _told(name: str, words: list[str]) -> list[float]:
+    """What each word of a token of this attribute says."""
+    told = [NAMES.get(w, 0.0) for w in words]
+    if name == "role":
+        return [SURE if x <= ANCHOR else x for x in told]
+    if len(words) > 1 and words[0] in _SUBJECT:
+        return [max(0.0, x) for x in told]
+    if name == "id":  # often the slug of a heading
+        unknown = sum(w.isalpha() and w not in NAMES for w in words)
+        slug = unknown > 1 and unknown > sum(w in NAMES for w in words)
+        return [max(x, ANCHOR) if slug or x >= LOOSE else x for x in told]
+    return told
+
+
+def _prior(tag: str, attributes: str, parent) -> tuple[float, float]:
+    """What a node's tag and mild names say, and the cost of its worst name."""
+    score, name_cost = TAGS.get(tag, 0.0), 0.0
     if tag in _SOFT_IN_ARTICLE and parent is not None and parent.article:
         score = -0.5
     if attributes and tag not in ("html", "body"):
         worst = best = 0.0
+        hidden = False
         for m in _NAMED.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-                worst = min(worst, -9.0)
+                hidden = True
             elif name not in ("style", "aria-hidden"):
                 for token in value.split():
                     words = _WORDS.findall(_CAMEL.sub(r"\1 \2", token).lower())
                     if not _LAYOUT.intersection(words):
-                        told = [NAMES.get(w, 0.0) for w in words]
+                        told = _told(name, words)
                         worst, best = min([worst, *told]), max([best, *told])
-        # A container named for its content, such as "post-content", is not undone by a mild word beside it.
-        score = worst if worst <= -5 else score + worst + best
-    return score
+        if tag in _NEVER:
+            score += best
+        elif worst <= ANCHOR:
+            name_cost = worst
+        else:  # A container named for its content, such as "post-content", is not undone by a mild word beside it.
+            score += worst + best
+        if hidden:
+            score = -9.0
+    return score, name_cost
 
 
 #: Tags that end an open paragraph; items end open items alike.
@@ -152,7 +185,7 @@ def blocks_of(page: str) -> list[tuple[str, float, int, int, _Node]]:
                     node = up.parent
             in_link = 0
             if node.depth < 400:
-                node = _Node(tag, node, _prior(tag, m[3], node))
+                node = _Node(tag, node, *_prior(tag, m[3], node))
             if m[3] and m[3].endswith("/") and tag in ("path", "use"):
                 node = node.parent
         elif tag in INLINE:
@@ -170,10 +203,31 @@ def blocks_of(page: str) -> list[tuple[str, float, int, int, _Node]]:
     return out
 
 
-def logit(share: float, chars: int, words: int, node: _Node) -> float:
-    """How much likelier a block is content than boilerplate, as a logarithm of odds."""
+def names_of(blocks) -> dict:
+    """What their name costs the blocks of each named node, less what the text in it speaks for it."""
+    own: dict = {}
+    total = 0.0
+    for _, share, _, words, node in blocks:
+        plain = words * (1 - share)
+        if node.prior > -5:
+            total += plain
+        if node.named is not None:
+            held = own.setdefault(node.named, [0.0, 0, 0.0])
+            held[0] += plain
+            held[1] += words
+            held[2] += plain * (node.prior > -5)
+    out = {None: 0.0}
+    for node, (plain, words, counted) in own.items():
+        mostly = max(0.0, 2 * plain / words - 1)
+        speaks = math.log2(1 + counted / 60) + max(0.0, math.log2((counted + 1e-9) / (total - counted + 20)))
+        out[node] = min(0.0, node.name + mostly * speaks)
+    return out
+
+
+def logit(share: float, chars: int, words: int, node: _Node, name: float = 0.0) -> float:
+    """How much likelier a block is content than boilerplate, as a logarithm of odds; name is what its name costs."""
     strong = node.prior <= -5
-    score = BIAS + max(-9.0, min(4.0, node.prior)) + min(1.2, 0.25 * math.log1p(words)) - 2.5 * share * (share > 0.3)
+    score = BIAS + max(-9.0, min(4.0, node.prior)) + min(1.2, 0.25 * math.log1p(words)) - 2.5 * share * (share > 0.3) + name
     if words < 4 and not node.article:
         score -= 0.6
     return min(score, -4.0) if strong else score
@@ -257,7 +311,8 @@ def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
     if not blocks:
         return ""
-    odds = [logit(*b[1:]) for b in blocks]
+    names = names_of(blocks)
+    odds = [logit(*b[1:], names[b[4].named]) for b in blocks]
     edges, last = [], {}
     for i, b in enumerate(blocks):
         if i:
