@@ -63,3 +63,44 @@ def test_odd_documents(odd_docs, no_docs):
     assert license_scan(no_docs).count() == 0
     plan = license_scan(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def brute_runs(doc, text, threshold):
+    row = brute(doc, text, threshold)
+    w, met = words(text), [(row[7], x) for x in row[6].split(",") if x]
+    for label, t in TEMPLATES:
+        own = set(t.split())
+        for i in range(len(w)):
+            n = len(own & set(w[i : i + len(t.split())]))
+            if n >= math.ceil(threshold * len(own) - 1e-9):
+                met.append((n / len(own), label))
+    return (*row[:6], ",".join(sorted({x for _, x in met})), max([s for s, _ in met], default=0.0))
+
+
+def wrap(text, width, lead):
+    lines = [""]
+    for w in text.split():
+        if len(lines[-1]) + len(w) > width:
+            lines.append("")
+        lines[-1] += " " + w
+    return "\n".join(lead + x for x in lines)
+
+
+def test_notices_wrapped_over_lines(spark, tmp_path):
+    from tidemark.llm.queries import QUERIES
+
+    rows = list(enumerate(f"Some code\n{wrap(t.capitalize() + '.', width, lead)}\nand more words of it" for _, t in TEMPLATES for width, lead in ((20, "# "), (40, " * "), (1, ""))))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in QUERIES["op5_license_scan"](spark, str(tmp_path)).collect())
+    assert got == [brute_runs(i, t, 0.8) for i, t in rows]
+    assert all(TEMPLATES[i // 3][0] in r[6].split(",") and r[7] == 1.0 for i, r in enumerate(got))
+
+
+def test_runs_are_those_of_loops(spark):
+    from tests.llm.conftest import ODD_TEXTS
+
+    rows = texts() + [(1000 + (i or 0), t) for i, t in ODD_TEXTS]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for threshold in (0.5, 0.8):
+        got = sorted(tuple(r) for r in license_scan(docs, threshold=threshold, wrapped=True).collect())
+        assert got == sorted(brute_runs(i, t, threshold) for i, t in rows)

@@ -10,6 +10,11 @@ the first shared word), then the overlap is counted. The templates are fixed and
 join runs inside each row against literals: no shuffle, nothing of the corpus on the driver but
 one count for each template word. Blocks are not capped.
 
+With `wrapped`, as the registered query has it, each run of as many words as the template has is
+a block too, so a notice broken over lines is met. A run that meets it holds a prefix word;
+only runs around one are counted, in documents that hold enough of the template's words.
+The SQL knows lines alone: it has fewer labels where a notice is wrapped.
+
 Phrases are base labels: each place where a phrase's words stand next to each other counts.
 
 Null texts are empty: no words, no labels, null first_word and last_word, score 0. Repeated
@@ -67,11 +72,11 @@ def _literal(words):
     return F.array(*map(F.lit, words))
 
 
-def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = 0.8) -> DataFrame:
+def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = 0.8, wrapped: bool = False) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every document.
 
     score is 1 for a document with a phrase, else the largest share of a template that a block
-    of it holds, among those met; 0 without any.
+    of it holds, among those met; 0 without any. wrapped: blocks cross line ends too.
     """
     # lower() turns these two, alone of all beyond ASCII, into ASCII letters; other letters beyond it may change case.
     text = F.lower(F.replace(F.replace("text", F.lit("\u212a"), F.lit("\u0138")), F.lit("\u0130"), F.lit("\u0131")))
@@ -85,8 +90,8 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshol
     for label, text in templates:
         own = [w for w in order if w in set(text.split())]
         needed = math.ceil(threshold * len(own) - 1e-9)
-        sets.append((label, own, needed, own[: len(own) - needed + 1]))
-    prefixes = sorted({w for *_, prefix in sets for w in prefix})
+        sets.append((label, own, needed, own[: len(own) - needed + 1], len(text.split())))
+    prefixes = sorted({w for s in sets for w in s[3]})
 
     def share_of(own, needed, prefix):
         """Of a block, its vocabulary words in global order, the share of a template it holds; null if it is not met."""
@@ -100,10 +105,18 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshol
 
         return share
 
+    def run_share(own, needed, prefix, length):
+        """The largest share of a template that a run of `length` words holds; null if none meets it."""
+        at = F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(prefix), i)))
+        starts = F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(F.greatest(i - F.lit(length - 1), F.lit(0)), i))))
+        best = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("words", i + 1, length), _literal(own)))))
+        share = F.when(best >= needed, best / F.lit(float(len(own))))
+        return F.when(F.arrays_overlap("hits", _literal(prefix)), F.when(F.size(F.array_intersect(_literal(own), "words")) >= needed, share))
+
     blocks = F.filter(F.transform(F.split("t", "\n", -1), lambda b: F.array_intersect(_literal(order), _words(b))), lambda b: F.arrays_overlap(b, _literal(prefixes)))
     phrase = f"{_BEFORE}(?:{'|'.join(_GAP.join(p.split()) for p in phrases)}){_AFTER}"
     hits = _literal(sorted({*prefixes, *(w for p in phrases for w in p.split())}))
-    seen = rows.select("doc_id", "t", _count(F.col("words")).alias("n_words"), F.array_intersect(hits, "words").alias("hits"))
+    seen = rows.select("doc_id", "t", _count(F.col("words")).alias("n_words"), F.array_intersect(hits, "words").alias("hits"), *["words"] * wrapped)
     # A document without all words of some phrase needs no search for one.
     maybe = reduce(or_, [F.size(F.array_intersect(F.col("hits"), _literal(p.split()))) == len(set(p.split())) for p in phrases])
     found = seen.select(
@@ -111,12 +124,14 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshol
         F.when(F.arrays_overlap("hits", _literal(prefixes)), blocks).alias("blocks"),
         F.when(maybe, F.regexp_extract_all("t", F.lit(phrase), F.lit(0))).alias("places"),
         F.when(maybe, F.split("t", phrase, -1)).alias("around"),
+        *[run_share(*s[1:]).alias(f"r{i}") for i, s in enumerate(sets) if wrapped],
     )
     words = lambda c: _count(_words(c))
     n_base = F.coalesce(F.greatest(F.size("places"), F.lit(0)), F.lit(0))
     label_of = lambda p: F.coalesce(*[F.when(F.array_join(_words(p), " ") == k, F.lit(v)) for k, v in phrases.items()])
     base = F.array_sort(F.array_distinct(F.transform(F.coalesce("places", F.array().cast("array<string>")), label_of)))
-    met = [F.array_max(F.transform("blocks", share_of(*s[1:]))).alias(f"m{i}") for i, s in enumerate(sets)]
+    met = [F.array_max(F.transform("blocks", share_of(*s[1:4]))) for s in sets]
+    met = [(F.greatest(m, f"r{i}") if wrapped else m).alias(f"m{i}") for i, m in enumerate(met)]
     scored = found.select(
         "doc_id", "n_words", n_base.cast("long").alias("n_base"), base.alias("base"),
         F.when(n_base > 0, words(F.element_at("around", 1))).alias("first_word"),

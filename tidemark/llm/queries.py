@@ -27,7 +27,7 @@ QUERIES = {
     "op2_token_files": lambda spark, d: token_file_digest(table(spark, d, "documents"), BYTE_BPE),
     "op3_embedding_near_dedup": lambda spark, d: near_vectors(table(spark, d, "embeddings")),
     "op4_quality": lambda spark, d: quality(table(spark, d, "documents"), table(spark, d, "labels")),
-    "op5_license_scan": lambda spark, d: license_scan(table(spark, d, "documents")),
+    "op5_license_scan": lambda spark, d: license_scan(table(spark, d, "documents"), wrapped=True),
     "op6_toxicity": lambda spark, d: toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op7_ngram_join": lambda spark, d: ngram_classes(table(spark, d, "documents")),
     "op8_nearest_neighbours": lambda spark, d: nearest(table(spark, d, "embeddings")),
