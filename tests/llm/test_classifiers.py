@@ -61,6 +61,17 @@ def test_statistics_are_finite():
         assert np.isfinite(statistics(text)).all()
 
 
+def test_every_window_counts_in_compressibility():
+    rng = random.Random(3)
+    head = " ".join(f"word{i % 90}" for i in range(400))[:1000]
+    junk = "".join(chr(rng.randrange(33, 127)) for _ in range(2500))
+    for text in (head, head[:300], "", head + junk, head + "again " * 500, junk + head * 3):
+        raw = text.encode()
+        windows = [raw[at : at + 1000] for at in range(0, len(raw), 1000)] or [b""]
+        assert abs(statistics(text)[-1] - sum(len(zlib.compress(w, 1)) for w in windows) / max(1, len(raw))) < 1e-12
+    assert statistics(head + junk)[-1] > statistics(head)[-1] > statistics(head + "again " * 500)[-1]
+
+
 def test_quality_of_odd_tables(odd_docs, no_docs, odd_labels):
     rows = quality(odd_docs, odd_labels).collect()
     assert len(rows) == 12 and all(0 <= r.score <= 1 for r in rows)

@@ -28,11 +28,13 @@ from pyspark.sql import functions as F
 from .shared import cut, forget, texts_of
 
 BINS = 512
+#: Bytes compressed apart from the rest; their compressibility is the mean over a text.
+WINDOW = 1000
 _SENTENCE = re.compile(r"[.!?]+(?:\s|$)")
 STATISTICS = (
     "log_bytes log_words mean_word long_words upper lower digits spaces punctuation symbols beyond_ascii bangs bars "
     "distinct_words top_word repeated_next log_lines line_length distinct_lines sentence_words capital_words mixed_words "
-    "entropy compressed compressed_head"
+    "entropy compressed compressed_windows"
 ).split()
 
 _CLASS = np.zeros(256, np.uint8)
@@ -62,7 +64,7 @@ def statistics(text: str) -> list[float]:
         len(often) / math.sqrt(m), max(often.values(), default=0) / m, again / m,
         math.log1p(len(lines)), math.log1p(len(text) / max(1, len(lines))), len(set(lines)) / max(1, len(lines)), math.log1p(m / sentences),
         capital / m, plain / m,
-        float(-(p * np.log2(p)).sum()) if len(p) else 0.0, len(zlib.compress(raw, 1)) / n, len(zlib.compress(raw[:1000], 1)) / min(n, 1000),
+        float(-(p * np.log2(p)).sum()) if len(p) else 0.0, len(zlib.compress(raw, 1)) / n, sum(len(zlib.compress(raw[at : at + WINDOW], 1)) for at in range(0, n, WINDOW)) / n,
     ]
 
 
