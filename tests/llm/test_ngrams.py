@@ -72,6 +72,18 @@ def test_odd_documents(odd_docs, no_docs):
     assert ngram_classes(no_docs).count() == 0 and keep_one(no_docs).count() == 0
 
 
+def test_one_row_of_each_class_stays(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, a, 0), (5, a + " more", 1), (5, b, 2), (7, c, 3), (7, c, 4), (7, c.upper(), 5), (None, a, 6), (None, d, 7), (None, d, 7), (9, "", 8), (9, "", 8), (None, None, 9), (8, b, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sid int")
+    for bound in (1 << 20, 0):
+        kept = [tuple(r) for r in keep_one(docs.repartition(3), bound).collect()]
+        seven = [r for r in kept if r[0] == 7]
+        assert len(seven) == 1 and seven[0] in rows
+        assert sorted((r for r in kept if r[0] != 7), key=repr) == sorted([(1, a, 0), (5, b, 2), (None, d, 7), (9, "", 8), (9, "", 8), (None, None, 9)], key=repr)
+    assert keep_one(docs).schema == docs.schema
+
+
 def test_a_link_at_the_threshold(spark):
     w = [f"x{i}" for i in range(104)]
     # 100 shingles each; a changed end leaves 89 or 88 in common of 111 or 112.

@@ -482,28 +482,64 @@ def jaccard_links(docs: DataFrame, frequent: int = 1 << 18, block: int = 2048) -
     return prepared.select("doc_id", "n", "sid"), links.union(second), [p_prepared, p_links, p_second]
 
 
-def ngram_classes(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every document."""
-    spark = docs.sparkSession
+def _roots(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame, str]:
+    """Documents (doc_id, n, sid), each set's smallest doc_id and class (sid, least, root), and the latter's scratch path."""
     rows, links, paths = jaccard_links(docs, **options)
     classes, p_classes = components(links, "ngram")
     own = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     joined = own.join(classes.select(F.col("node").alias("sid"), F.col("component").alias("root")), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     joined, p_joined = cut(joined, "ngram-roots")
+    forget(docs.sparkSession, p_classes, *paths[1:])
+    return rows, joined, p_joined
+
+
+def ngram_classes(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every document."""
+    rows, joined, p_joined = _roots(docs, **options)
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     named, _ = cut(joined.join(least, "root").select("sid", "component_id"), "ngram-named")
-    forget(spark, p_classes, p_joined, *paths[1:])
+    forget(docs.sparkSession, p_joined)
     out = rows.join(named, "sid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, bound: int = 1 << 20, **options) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its class, with all their columns; rows without doc_id stay.
+    """One row of each class, with all its columns; rows without words, which link with nothing, stay.
 
-    Ids to leave out are broadcast up to `bound`; beyond, documents meet them in a join.
+    The row is of the smallest doc_id, null being the largest, and of its sets the one of smallest
+    hash; of several such rows, the one whose columns have the smallest hash. Where doc_id names one
+    row it decides alone. Only rows of a repeated or null doc_id get their shingles made again.
+    Ids to leave out or look at again are broadcast up to `bound`; beyond, documents meet them in a join.
     """
-    out = ngram_classes(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_out")).distinct()
-    out, _ = cut(out, "ngram-out")
-    if out.count() <= bound:
-        out = F.broadcast(out)
-    return docs.join(out, docs["doc_id"].cast("long") == out["_out"], "left_anti")
+    rows, roots, p_roots = _roots(docs, **options)
+    best = roots.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "sid")).alias("best"))
+    best, _ = cut(best.select("best.sid", "best.least"), "ngram-best")
+    stays = (F.col("n") == 0) | F.coalesce(F.col("chosen") & F.col("doc_id").eqNullSafe(F.col("least")), F.lit(False))
+    marked = rows.join(best.withColumn("chosen", F.lit(True)), "sid", "left").select("doc_id", stays.alias("stays"))
+    ids = marked.groupBy(F.col("doc_id").alias("_id")).agg(F.min("stays").alias("stays"), (F.count("*") > 1).alias("again"))
+    ids = ids.select("_id", (F.col("again") | F.col("_id").isNull()).alias("again"), "stays").where("again or not stays").select("_id", "again")
+    ids, _ = cut(ids, "ngram-out")
+    forget(docs.sparkSession, p_roots)
+    seen = ids.agg(F.count("*"), F.count_if("again")).first()
+    if seen[0] <= bound:
+        ids = F.broadcast(ids)
+    once = docs.join(ids, docs["doc_id"].cast("long") == ids["_id"], "left_anti")
+    if not seen[1]:
+        return once
+
+    def name(batches):
+        for batch in batches:
+            for at, part in slices(batch.column(2).to_pylist()):
+                sids = [set_id(x) if len(x) else None for x in shingle_sets(part)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), pa.array(sids, pa.int64())], ["row", "id", "sid"])
+
+    doc_id = docs["doc_id"].cast("long")
+    again = docs.join(ids.where("again"), doc_id.eqNullSafe(F.col("_id")), "left_semi")
+    packed = again.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    row = packed.schema["row"].dataType
+    named = packed.mapInArrow(name, f"row {row.simpleString()}, id long, sid long")
+    hashed = [F.col("row")[f.name] for f in row if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    wordless = named.where("sid is null").select("row")
+    chosen = named.join(best, "sid").where(F.col("id").eqNullSafe(F.col("least")))
+    chosen = chosen.groupBy("sid").agg(F.min_by("row", F.xxhash64(*hashed)).alias("row")).select("row")
+    return once.where("doc_id is not null").unionByName(wordless.union(chosen).select("row.*"))
