@@ -1,8 +1,9 @@
-"""Exact n-gram Jaccard join by signature trees, and the classes it links.
+"""Exact classes of the n-gram Jaccard join, by signature trees.
 
 A document is the set of its distinct five-word shingles (hashed to 64 bits; a text of fewer
-words is one shingle). Two documents link when 100 * |x & y| >= 80 * |x | y|. Every linked pair
-is found, none is capped:
+words is one shingle). Two documents link when 100 * |x & y| >= 80 * |x | y|. The classes are
+exact and no pair is capped, but links are not listed: a pair that other links put into one class
+already is not looked at, so the links made are enough to join each class and can't be counted.
 
 1. Documents of equal sets become one set, its id a 64-bit hash. (Among n documents a collision
    has a chance of n^2 / 2^65.)
