@@ -114,34 +114,135 @@ def first_gap(keys: DataFrame, number: str) -> DataFrame:
     return gap.crossJoin(n.agg(F.count("*").alias("all_n"))).select("first_missing", (F.col("all_n") - F.col("first_missing")).cast("long").alias("beyond"))
 
 
-def scan_many(log: DataFrame, ranges: DataFrame, snapshot: int | None = None, bound: int = 100_000) -> DataFrame:
+def listed_ranges(ranges: DataFrame, bound: int = 100_000) -> list[tuple[int, bytes, bytes]] | None:
+    """The ranges that hold anything, by start, or None if there are more than `bound`."""
+    got = ranges.select("id", F.col("start").cast("binary"), F.col("end").cast("binary")).where("start <= end").limit(bound + 1).collect()
+    return None if len(got) > bound else sorted(((r[0], bytes(r[1]), bytes(r[2])) for r in got), key=lambda r: r[1])
+
+
+def scan_many(log: DataFrame, ranges: DataFrame, snapshot: int | None = None, bound: int = 100_000, listed: list[tuple[int, bytes, bytes]] | None = None) -> DataFrame:
     """Live rows of many key ranges (id, start, end; both ends included), each with the range's id.
 
-    Up to `bound` ranges go to every task, which cuts each batch of sorted keys by them; more
-    than that meet the rows in a range join.
+    Versions outside of all ranges are dropped before any are shuffled. Up to `bound` ranges go to
+    every task, which cuts each batch of keys by those that meet it; more than that are dealt, with the
+    versions, to key intervals, and each interval is swept in key order.
     """
-    live = visible(log, snapshot)
-    asked = ranges.select("id", "start", "end")
-    if asked.count() > bound:
-        return live.join(asked, (F.col("key") >= F.col("start")) & (F.col("key") <= F.col("end"))).select("id", *live.columns)
-    listed = [(r["id"], r["start"], r["end"]) for r in asked.collect()]
-    listed = [(i, bytes(a) if isinstance(a, bytearray) else a, bytes(b) if isinstance(b, bytearray) else b) for i, a, b in listed]
+    log = as_of(log, snapshot)
+    if listed is None:
+        listed = listed_ranges(ranges, bound)
+    types = dict(log.dtypes)
+    schema = "id long, " + ", ".join(f"{c} {types[c]}" for c in log.columns)
+    if listed is not None:
+        found = log.mapInArrow(_cutter(listed, log.columns.index("key")), schema)
+    else:
+        found = _sweep(log, ranges, schema)
+    rest = [c for c in log.columns if c != "key"]
+    best = found.groupBy("id", "key").agg(F.max_by(F.struct(*rest), "seq").alias("v"))
+    return best.where("not v.tombstone").select("id", "key", *[F.col(f"v.{c}").alias(c) for c in rest if c != "tombstone"])
+
+
+def _cutter(listed: list[tuple[int, bytes, bytes]], at: int):
+    """Batches of versions to those of each range, with its id. Ranges are in order of start."""
+
+    def run(batches):
+        import numpy as np
+
+        ids, starts, ends = np.array([r[0] for r in listed], np.int64), _objects([r[1] for r in listed]), _objects([r[2] for r in listed])
+        for batch in batches:
+            if batch.num_rows and len(ids):
+                cut = _meet(batch, at, ids, starts, ends)
+                if cut is not None:
+                    yield cut
+
+    return run
+
+
+def _objects(items):
+    import numpy as np
+
+    out = np.empty(len(items), object)
+    out[:] = items
+    return out
+
+
+def _meet(batch, at: int, ids, starts, ends):
+    """The batch's rows of each range with the range's id, or None."""
+    import numpy as np
+    import pyarrow as pa
+
+    keys = _objects([k.encode() if isinstance(k, str) else k for k in batch.column(at).to_pylist()])
+    if not (keys[1:] >= keys[:-1]).all():
+        order = np.argsort(keys, kind="stable")
+        keys, batch = keys[order], batch.take(pa.array(order))
+    some = np.flatnonzero(ends[: np.searchsorted(starts, keys[-1], "right")] >= keys[0])
+    a, b = np.searchsorted(keys, starts[some], "left"), np.searchsorted(keys, ends[some], "right")
+    n = b - a
+    if not n.sum():
+        return None
+    rows = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[some], n)), *batch.take(pa.array(rows)).columns], ["id", *batch.schema.names])
+
+
+def _sweep(log: DataFrame, ranges: DataFrame, schema: str) -> DataFrame:
+    """Versions of each range, with its id, by key intervals: a task holds one batch and the ranges open at its keys."""
+    spark, at = log.sparkSession, log.columns.index("key")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = ranges.select("id", F.col("start").cast("binary").alias("start"), F.col("end").cast("binary").alias("end")).where("start <= end")
+    # Which starts are edges only matters for the balance of intervals: at most 64 a partition.
+    drawn = asked.select("start").distinct().orderBy(F.xxhash64("start")).limit(64 * parts).collect()
+    edges = sorted(bytes(r[0]) for r in drawn)
+
+    def place(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        cuts = _objects(edges)
+        for batch in batches:
+            keys = _objects([k.encode() if isinstance(k, str) else k for k in batch.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, keys, "right").astype(np.int64)), *batch.columns], ["interval", *batch.schema.names])
 
-    def cut(batches):
-        from bisect import bisect_left, bisect_right
+    def spread(batches):
+        import numpy as np
+        import pyarrow as pa
 
+        cuts = _objects(edges)
+        for batch in batches:
+            a, b = (np.searchsorted(cuts, _objects(batch.column(k).to_pylist()), "right") for k in (1, 2))
+            n = b - a + 1
+            rows = np.repeat(np.arange(batch.num_rows), n)
+            where = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)[: len(n)], n) + np.arange(n.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int64)), *batch.take(pa.array(rows)).columns], ["interval", *batch.schema.names])
+
+    types = dict(log.dtypes)
+    own = ", ".join(f"{c} {types[c]}" for c in log.columns)
+    rows = log.mapInArrow(place, f"interval long, {own}").select("interval", F.lit(1).alias("kind"), F.col("key").cast("binary").alias("_at"), F.lit(None).cast("long").alias("_id"), F.lit(None).cast("binary").alias("_end"), *[F.col(c) for c in log.columns])
+    spans = asked.mapInArrow(spread, "interval long, id long, start binary, end binary")
+    spans = spans.select("interval", F.lit(0).alias("kind"), F.col("start").alias("_at"), F.col("id").alias("_id"), F.col("end").alias("_end"), *[F.lit(None).cast(types[c]).alias(c) for c in log.columns])
+    met = rows.union(spans).repartition(parts, "interval").sortWithinPartitions("interval", "_at", "kind")
+
+    def sweep(batches):
         import numpy as np
         import pyarrow as pa
 
+        interval, held = None, (np.zeros(0, np.int64), _objects([]), _objects([]))
         for batch in batches:
-            batch = batch.sort_by("key")
-            keys = batch.column(0).to_pylist()
-            spans = [(i, bisect_left(keys, a), bisect_right(keys, b)) for i, a, b in listed]
-            spans = [s for s in spans if s[1] < s[2]]
-            if spans:
-                rows = pa.array(np.concatenate([np.arange(a, b) for _, a, b in spans]))
-                ids = np.repeat([i for i, *_ in spans], [b - a for _, a, b in spans])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *batch.take(rows).columns], ["id", *batch.schema.names])
-
-    types = dict(live.dtypes)
-    return live.mapInArrow(cut, "id long, " + ", ".join(f"{c} {types[c]}" for c in live.columns))
+            where, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for a, b in zip(cuts := [0, *(np.flatnonzero(np.diff(where)) + 1).tolist()], [*cuts[1:], batch.num_rows]):
+                if a == b:
+                    continue
+                if where[a] != interval:
+                    interval, held = where[a], (np.zeros(0, np.int64), _objects([]), _objects([]))
+                part, opens = batch.slice(a, b - a), np.flatnonzero(kind[a:b] == 0)
+                new = part.take(pa.array(opens))
+                held = (np.concatenate([held[0], new.column(3).to_numpy(zero_copy_only=False).astype(np.int64)]), np.concatenate([held[1], _objects(new.column(2).to_pylist())]), np.concatenate([held[2], _objects(new.column(4).to_pylist())]))
+                rows = part.take(pa.array(np.flatnonzero(kind[a:b] == 1)))
+                rows = pa.RecordBatch.from_arrays(rows.columns[5:], rows.schema.names[5:])
+                if rows.num_rows and len(held[0]):
+                    cut = _meet(rows, at, *held)
+                    if cut is not None:
+                        yield cut
+                    last = part.column(2)[-1].as_py()
+                    still = held[2] >= last
+                    held = tuple(h[still] for h in held)
+
+    return met.mapInArrow(sweep, schema)

@@ -31,7 +31,7 @@ class Options:
     compaction_trigger: number of level-0 files that starts a compaction.
     target_file_size: bytes of versions a compaction aims at in each file.
     l1_max_bytes, level_size_multiplier: size limit of level 1, and growth from level to level.
-    cached_files: files kept in memory for point reads, 0 for none.
+    cache_bytes: bytes of point reads' results kept in memory, 0 for none.
     auto_compact: whether a flush that reaches the trigger compacts.
     """
 
@@ -40,7 +40,7 @@ class Options:
     target_file_size: int = 2 << 20
     l1_max_bytes: int = 8 << 20
     level_size_multiplier: int = 10
-    cached_files: int = 16
+    cache_bytes: int = 8 << 20
     auto_compact: bool = True
 
     def level_limit(self, level: int) -> int:

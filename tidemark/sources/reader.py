@@ -17,8 +17,8 @@ from . import manifest
 
 
 class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, base: int):
+        self.path, self.base = path, base
 
 
 def _open(root: str):
@@ -40,26 +40,24 @@ class _Reader(DataSourceReader):
         from pyarrow import fs
 
         store, base = _open(self.root)
-        found = None
         listed = [f.path for f in store.get_file_info(fs.FileSelector(f"{base}/manifest", allow_not_found=True)) if f.path.endswith(".json")]
-        for name in sorted(listed, reverse=True):
-            with store.open_input_stream(name) as f:
-                found = manifest.decode(f.read())
-            if found is not None:
-                break
-        if found is None:
+        if not listed:
             return []
+        with store.open_input_stream(max(listed)) as f:
+            found = manifest.decode(f.read())
+        if found is None:
+            raise manifest.Damaged(f"{max(listed)} is damaged")
         if self.key is not None:
             files = pruning.for_point(found, self.key, self.snapshot)
         else:
             files = pruning.for_range(found, self.start, self.end, self.snapshot)
-        return [_File(f.path) for f in files]
+        return [_File(f.path, f.base) for f in files]
 
     def read(self, partition: _File) -> Iterator:
         import pyarrow.compute as pc
         import pyarrow.dataset as ds
 
-        keep = pc.field("seq") <= self.snapshot
+        keep = pc.field("seq") <= self.snapshot - partition.base
         if self.key is not None:
             keep &= pc.field("key") == self.key
         if self.start is not None:
@@ -68,7 +66,8 @@ class _Reader(DataSourceReader):
             keep &= pc.field("key") <= self.end
         store, base = _open(self.root)
         data = ds.dataset(f"{base}/{partition.path}", format="parquet", filesystem=store)
-        yield from data.to_batches(columns=["key", "seq", "tombstone", "value"], filter=keep)
+        for batch in data.to_batches(columns=["key", "seq", "tombstone", "value"], filter=keep):
+            yield batch.set_column(1, batch.schema.field("seq"), pc.add(batch.column(1), partition.base))
 
 
 class TableSource(DataSource):

@@ -14,7 +14,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import resolve
 from .schema import Options
 from .table import Table
 
@@ -30,7 +29,7 @@ def _keys(spark: SparkSession, n: int, low: int, high: int) -> DataFrame:
     return spark.range(n).select(F.format_string("key%012d", (F.lit(low) + F.pmod(F.xxhash64("id"), F.lit(high - low)))).cast("binary").alias("key"))
 
 
-def run(spark: SparkSession, root: str, n: int = 1_000_000, value_bytes: int = 100, scans: int = 2_000, scan_keys: int = 100, writers: tuple[int, ...] = (1, 4, 8, 16), durable: int = 400) -> dict[str, float]:
+def run(spark: SparkSession, root: str, n: int = 1_000_000, value_bytes: int = 100, scans: int = 2_000, scan_keys: int = 100, writers: tuple[int, ...] = (1, 4, 8, 16), durable: int = 10_000) -> dict[str, float]:
     """Operations a second of each workload, on new tables below root."""
     options, out = Options(target_file_size=32 << 20, l1_max_bytes=1 << 40, compaction_trigger=1 << 30), {}
 
@@ -50,7 +49,7 @@ def run(spark: SparkSession, root: str, n: int = 1_000_000, value_bytes: int = 1
     rng = random.Random(12345)
     starts = [rng.randrange(max(1, n - scan_keys)) for _ in range(scans)]
     ranges = spark.createDataFrame([(i, bytearray(b"key%012d" % s), bytearray(b"key%012d" % (s + scan_keys - 1))) for i, s in enumerate(starts)], "id long, start binary, end binary")
-    timed("scan", scans, lambda: noop(resolve.scan_many(t.versions(), ranges)))
+    timed("scan", scans, lambda: noop(t.scan_many(ranges)))
     for k in writers:
         w = Table.open(spark, f"{root}/conc-{uuid.uuid4().hex}", Options(auto_compact=False))
 
