@@ -165,12 +165,27 @@ def _objects(items):
     return out
 
 
+def _sortable(column, starts, ends):
+    """Keys as an array that sorts as bytes do: of one buffer where keys and bounds have one length, else of objects."""
+    import numpy as np
+    import pyarrow as pa
+
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    size = int(offsets[1] - offsets[0])
+    if size and (np.diff(offsets) == size).all() and all(len(k) == size for k in (*starts, *ends)):
+        return np.frombuffer(column.buffers()[2], f"S{size}", len(column), int(offsets[0]))
+    return _objects(column.to_pylist())
+
+
 def _meet(batch, at: int, ids, starts, ends):
     """The batch's rows of each range with the range's id, or None."""
     import numpy as np
     import pyarrow as pa
 
-    keys = _objects([k.encode() if isinstance(k, str) else k for k in batch.column(at).to_pylist()])
+    keys = _sortable(batch.column(at), starts, ends)
+    if keys.dtype.kind == "S":
+        starts, ends = starts.astype(keys.dtype), ends.astype(keys.dtype)
     if not (keys[1:] >= keys[:-1]).all():
         order = np.argsort(keys, kind="stable")
         keys, batch = keys[order], batch.take(pa.array(order))

@@ -31,7 +31,7 @@ def _keys(spark: SparkSession, n: int, low: int, high: int) -> DataFrame:
 
 def run(spark: SparkSession, root: str, n: int = 1_000_000, value_bytes: int = 100, scans: int = 2_000, scan_keys: int = 100, writers: tuple[int, ...] = (1, 4, 8, 16), durable: int = 10_000) -> dict[str, float]:
     """Operations a second of each workload, on new tables below root."""
-    options, out = Options(target_file_size=32 << 20, l1_max_bytes=1 << 40, compaction_trigger=1 << 30), {}
+    options, out = Options(target_file_size=16 << 20, l1_max_bytes=1 << 40, compaction_trigger=1 << 30), {}
 
     def timed(name: str, count: int, f) -> None:
         began = time.perf_counter()
