@@ -5,11 +5,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidemark.llm.packing import pack, plan_runs
+from tidemark.llm.packing import match, pack, place
+from tidemark.llm.shared import cut
 from tidemark.llm.token_files import BLOCK, decode_blocks, encode_blocks, pack_file, read_token_files, token_file_digest, unpack_file, write_token_files
 from tidemark.llm.tokens import ByteBpe
 
@@ -116,23 +118,28 @@ def best_fit_decreasing(lengths, room):
     return len(gaps)
 
 
-def test_plan_is_as_good_as_best_fit_decreasing():
-    for seed in range(40):
-        rng = random.Random(seed)
-        room = rng.choice([8, 20, 64])
-        lengths = [rng.randint(1, room) for _ in range(rng.randrange(1, 200))]
-        counts = {n: lengths.count(n) for n in set(lengths)}
-        plan = plan_runs(counts, room)
-        fill, ranks = {}, {n: set() for n in counts}
-        for length, rank, n, first, offset in plan:
-            for k in range(n):
-                fill.setdefault(first + k, []).append((offset, length))
-                ranks[length].add(rank + k)
-        assert all(len(ranks[n]) == c and max(ranks[n]) == c - 1 for n, c in counts.items())
-        for parts in fill.values():
-            at = 0
-            for offset, length in sorted(parts):
-                assert offset == at
-                at += length
-            assert at <= room
-        assert len(fill) <= best_fit_decreasing(lengths, room) + 1
+@pytest.mark.parametrize("seed,room,n,per_range", [(1, 20, 300, 40), (2, 64, 500, 1 << 18), (3, 64, 400, 60), (4, 8, 200, 30)])
+def test_packing_is_as_good_as_best_fit_decreasing(spark, seed, room, n, per_range):
+    rng = random.Random(seed)
+    lengths = [min(room, 1 + int(rng.random() ** 2 * room)) if rng.random() < 0.7 else room // 3 for _ in range(n)]  # a length of a third of the pieces
+    pieces, _ = cut(spark.createDataFrame(list(enumerate(lengths)), "pid long, length long"), "test-pieces")
+    rows = place(pieces, room, per_range)[0].collect()
+    assert sorted((r.pid, r.length) for r in rows) == list(enumerate(lengths))
+    fill, order = {}, set()
+    for r in rows:
+        fill[r.seq] = fill.get(r.seq, 0) + r.length
+        order.add((r.seq, r.turn, r.slot))
+    assert len(order) == n and max(fill.values()) <= room
+    assert len(fill) <= best_fit_decreasing(lengths, room) + 1
+
+
+@given(st.lists(st.booleans(), max_size=60))
+def test_matching_is_that_of_a_stack(slots):
+    stack, want = [], []
+    for i, is_slot in enumerate(slots):
+        if not is_slot:
+            stack.append(i)
+        elif stack:
+            want.append((stack.pop(), i))
+    a, b = match(np.array(slots, bool))
+    assert sorted(zip(a.tolist(), b.tolist())) == sorted(want)

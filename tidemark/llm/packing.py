@@ -1,24 +1,28 @@
-"""Best-fit packing of token documents into sequences of bounded length.
-
-Documents are cut into pieces of at most `room` ids, the first piece being the short one.
-Pieces of one length are interchangeable, so the sorted pieces are 1 to `room` runs of equal
-length, and sorted gaps are runs of equal room. A superstep takes the longest run not placed,
-sweeps the gap runs upward from that length (its successors), and gives a gap run's first
-pieces by rank to its first sequences by rank; gaps shrink by the length and go back into
-their place; pieces without a gap open sequences. Supersteps repeat until every run is placed.
-The sweep sees runs alone: the driver holds a histogram of at most `room` lengths, whatever
-the number of documents. Rows stay on the executors: each finds its rank among the pieces of
-its length (rank in its task, plus the counts of earlier tasks) and from it its sequence.
+"""Best-fit packing of token documents into sequences of bounded length, in bulk-synchronous rounds.
+
+Documents are cut into pieces of at most `room` ids, the first piece being the short one. A piece
+of more than half the room opens a sequence of its own; the rest go in classes of falling
+length, each within a factor of SPAN. A round of a class
+
+1. range-sorts its pieces by length together with the gaps by room. A gap that takes several of the
+   class's longest pieces offers as many slots; of equal slots those of tighter gaps come first;
+2. sweeps each range upward, on its own: a slot takes the longest piece below it that no earlier slot
+   took, so a piece goes to its successor, the tightest slot that holds it;
+3. resolves what is left across ranges by rank: a range's slots and pieces without a partner get the
+   level of the whole sweep's stack at which they would pop or push, from two counts a range; in
+   range order a push that a pop of its level follows is a pair;
+4. takes the placed pieces off their gaps, and writes gaps, pieces left and placements as tables.
+
+What surely fits no gap opens sequences: as many as its ids need beyond the gaps' room. Rounds repeat
+until the class is placed. The driver holds counts alone; a task holds one range.
 
 Null texts are empty documents (the end id alone); repeated rows are packed each by itself;
-an empty table gives no rows.
+an empty table gives no rows; other columns, of any name, are left out.
 """
 
 from __future__ import annotations
 
-import bisect
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -26,49 +30,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, texts_of, trim
+from .shared import cut, forget, texts_of, trim
 from .tokens import encoder
 
-
-def plan_runs(counts: dict[int, int], room: int) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, pieces, first sequence, offset) of runs of consecutive ranks and sequences."""
-    plan, gaps, gap_sizes, next_sequence = [], {}, [], 0
-
-    def give(size: int, first: int, n: int) -> None:
-        if size > 0:
-            if size not in gaps:
-                gaps[size] = []
-                bisect.insort(gap_sizes, size)
-            gaps[size].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            at = bisect.bisect_left(gap_sizes, length)
-            if at < len(gap_sizes):
-                size = gap_sizes[at]
-                first, n = gaps[size].pop()
-                take = min(n, left)
-                if take < n:
-                    gaps[size].append((first + take, n - take))
-                elif not gaps[size]:
-                    del gaps[size], gap_sizes[at]
-            else:
-                # As many sequences as this length fills on its own, opened at once.
-                size, first, take = room, next_sequence, -(-left // (room // length))
-                next_sequence += take
-            plan.append((length, rank, take, first, room - size))
-            give(size - length, first, take)
-            rank, left = rank + take, left - take
-    return plan
+SPAN = 4
+#: Rows a range of a round aims at.
+RANGE = 1 << 18
+PAIR, PIECE, SLOT = 0, 1, 2
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, room: int = 2048, end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece, with task and rank, its place among the task's pieces of that length."""
+    """doc_id, piece, start, length, ids_crc32 of every piece, with pid, a number of its own."""
 
     def pieces(batches):
         trim()
-        bpe, seen, task = encoder(tokenizer), Counter(), TaskContext.get().partitionId()
+        bpe, pid = encoder(tokenizer), TaskContext.get().partitionId() << 40
         for batch in batches:
             out = []
             for doc, raw in zip(batch.column(0).to_pylist(), bpe.encode(batch.column(1).to_pylist())):
@@ -76,38 +52,138 @@ def cut_pieces(docs: DataFrame, tokenizer: str, room: int = 2048, end_id: int =
                 a, k = 0, 0
                 while a < len(ids):
                     b = a + ((len(ids) - a - 1) % room + 1)
-                    out.append((doc, k, a, b - a, zlib.crc32(ids[a:b]), task, seen[b - a]))
-                    seen[b - a] += 1
-                    a, k = b, k + 1
-            cols = list(zip(*out)) or [()] * 7
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
-
-    return texts_of(docs).mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long")
-
-
-def pack(docs: DataFrame, tokenizer: str, room: int = 2048, end_id: int = 0) -> DataFrame:
+                    out.append((doc, k, a, b - a, zlib.crc32(ids[a:b]), pid))
+                    a, k, pid = b, k + 1, pid + 1
+            cols = list(zip(*out)) or [()] * 6
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "pid"])
+
+    return texts_of(docs).mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long, pid long")
+
+
+def match(slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of matched (piece, slot) rows of a sweep; rows are in order, slot tells which are slots.
+
+    Pieces are pushed on a stack and slots pop it. The k-th push of a level and the pop that
+    follows it at that level are a pair, so one sort by level finds all.
+    """
+    height = np.cumsum(np.where(slot, -1, 1))
+    order = np.argsort(np.where(slot, height + 1, height), kind="stable")
+    level = np.where(slot, height + 1, height)[order]
+    pairs = np.flatnonzero((level[1:] == level[:-1]) & ~slot[order[:-1]] & slot[order[1:]])
+    return order[pairs], order[pairs + 1]
+
+
+def _sweep(batches):
+    """One range: its pairs, and what has no partner, numbered in order (kind, part, place, pid, length, seq, slot)."""
+    part = TaskContext.get().partitionId()
+    table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+    if table is None or not table.num_rows:
+        return
+    size, kind, item, nth = (table.column(i).to_numpy() for i in (0, 1, 3, 4))
+    slot = kind == 1
+    a, b = match(slot)
+    alone = np.ones(len(size), bool)
+    alone[a] = alone[b] = False
+    for rows, code in ((np.flatnonzero(alone & ~slot), PIECE), (np.flatnonzero(alone & slot), SLOT)):
+        n, none = len(rows), np.zeros(len(rows), np.int64)
+        yield _rows(np.full(n, code), np.full(n, part), np.arange(n), *((item[rows], size[rows], none, none) if code == PIECE else (none, none, item[rows], nth[rows])))
+    yield _rows(np.full(len(a), PAIR), np.full(len(a), part), np.arange(len(a)), item[a], size[a], item[b], nth[b])
+
+
+_SWEPT = "kind int, part int, place long, pid long, length long, seq long, slot long"
+
+
+def _rows(kind, part, place, *rest) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(part, pa.int32()), *(pa.array(x, pa.int64()) for x in (place, *rest))], [c.split()[0] for c in _SWEPT.split(", ")])
+
+
+def _across(swept: DataFrame) -> DataFrame:
+    """Swept rows with the pairs that lie in different ranges found too."""
+    alone = {r["part"]: (r["u"], r["v"]) for r in swept.groupBy("part").agg(F.count_if(F.col("kind") == SLOT).alias("u"), F.count_if(F.col("kind") == PIECE).alias("v")).collect()}  # two counts a range
+    before, starts = 0, []
+    for part in sorted(alone):
+        u, v = alone[part]
+        starts.append((part, before, before - u))
+        before += v - u
+    starts = F.broadcast(swept.sparkSession.createDataFrame(starts, "part int, before long, after long"))
+    level = F.when(F.col("kind") == SLOT, F.col("before") - F.col("place")).otherwise(F.col("after") + F.col("place") + 1)
+    rest = swept.where(F.col("kind") != PAIR).join(starts, "part").withColumn("level", level)
+    at = Window.partitionBy("level").orderBy("part", F.desc("kind"))  # a range's slots pop before its pieces push
+    follows, leads = (f(F.struct("kind", "seq", "slot")).over(at) for f in (F.lead, F.lag))
+    rest = rest.withColumn("next", follows).withColumn("last", leads)
+    met = F.col("next.kind") == SLOT
+    rest = rest.where((F.col("kind") == PIECE) | F.col("last.kind").isNull() | (F.col("last.kind") != PIECE))
+    paired = (F.col("kind") == PIECE) & F.coalesce(met, F.lit(False))
+    either = lambda c: F.when(paired, F.col(f"next.{c}")).otherwise(F.col(c)).alias(c)
+    rest = rest.select(F.when(paired, PAIR).otherwise(F.col("kind")).cast("int").alias("kind"), "part", "place", "pid", "length", either("seq"), either("slot"))
+    return swept.where(F.col("kind") == PAIR).unionByName(rest)
+
+
+def place(pieces: DataFrame, room: int, per_range: int = RANGE) -> tuple[DataFrame, list[str]]:
+    """pid, length, seq of every piece (pid, length), with turn and slot, its order in the sequence; and the scratch paths read."""
+    spark = pieces.sparkSession
+    half, edges = room // 2, []
+    while (edges[-1] if edges else half) > 0:
+        hi = edges[-1] if edges else half
+        edges.append(hi // SPAN if hi > SPAN else 0)
+    own = pieces.where(F.col("length") > half).select("pid", "length", F.col("pid").alias("seq"), F.lit(0).alias("turn"), F.lit(0).cast("long").alias("slot"))
+    placed, kept, opened, turn = [own], [], 0, 0
+    sizes = F.least(F.lit(len(edges)), F.lit(len(edges)), *[F.when(F.col("length") > lo, i) for i, lo in enumerate(edges)])
+    of_class = {r["c"]: r for r in pieces.where(F.col("length") <= half).groupBy(sizes.alias("c")).agg(F.count("*").alias("n"), F.sum("length").alias("ids"), F.max("length").alias("hi")).collect()}  # a row a class
+    gaps, p_gaps = cut(own.where(F.col("length") < room).select("seq", (F.lit(room) - F.col("length")).alias("room")), "packing-gaps")
+    for c, low in enumerate(edges):
+        if c not in of_class:
+            continue
+        n, ids, hi = of_class[c]["n"], of_class[c]["ids"], of_class[c]["hi"]
+        high = half if not c else edges[c - 1]
+        left, p_left = pieces.where((F.col("length") > low) & (F.col("length") <= high)).select("pid", "length"), None
+        fits = None
+        while n:
+            free = gaps.where(F.col("room") > low).agg(F.count("*").alias("n"), F.coalesce(F.sum("room"), F.lit(0)).alias("ids")).first()
+            new = -(-(ids - (free["ids"] if fits != 0 else 0)) // room)
+            if new > 0:
+                gaps = gaps.union(spark.range(opened, opened + new).select((-1 - F.col("id")).alias("seq"), F.lit(room).cast("long").alias("room")))
+                opened += new
+            n_gaps = free["n"] + max(0, new)
+            each = F.least(F.greatest(F.lit(1), F.floor(F.col("room") / hi)), F.lit(-(-2 * n // n_gaps))).cast("long")
+            slots = gaps.where(F.col("room") > low).select("seq", "room", F.explode(F.sequence(F.lit(0).cast("long"), each - 1)).alias("slot"))
+            items = left.select(F.col("length").alias("size"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("room"), F.col("pid").alias("item"), F.lit(0).cast("long").alias("nth"))
+            items = items.union(slots.select(F.least("room", F.lit(hi).cast("long")).alias("size"), F.lit(1), "room", "seq", "slot"))
+            parts = max(1, -(-(3 * n + n_gaps) // per_range))
+            by = ["size", "kind", "room", F.xxhash64("item"), "item", "nth"]
+            items = items.repartitionByRange(parts, *by) if parts > 1 else items.repartition(1)
+            swept, p_swept = cut(items.sortWithinPartitions(*by).mapInArrow(_sweep, _SWEPT), "packing-swept")
+            if parts > 1:
+                swept, p_new = cut(_across(swept), "packing-met")
+                forget(spark, p_swept)
+                p_swept = p_new
+            turn += 1
+            pairs = swept.where(F.col("kind") == PAIR).select("pid", "length", "seq", F.lit(turn).alias("turn"), "slot")
+            placed.append(pairs)
+            kept.append(p_swept)
+            changed = gaps.union(pairs.select("seq", -F.col("length"))).groupBy("seq").agg(F.sum("room").alias("room")).where("room > 0")
+            gaps, p_new = cut(changed, "packing-gaps")
+            forget(spark, p_gaps)
+            p_gaps = p_new
+            left = swept.where(F.col("kind") == PIECE).select("pid", "length")
+            got = left.agg(F.count("*").alias("n"), F.sum("length").alias("ids"), F.max("length").alias("hi")).first()
+            fits = n - got["n"]
+            n, ids, hi = got["n"], got["ids"], got["hi"]
+    forget(spark, p_gaps)
+    out = placed[0]
+    for more in placed[1:]:
+        out = out.union(more)
+    return out, kept
+
+
+def pack(docs: DataFrame, tokenizer: str, room: int = 2048, end_id: int = 0, per_range: int = RANGE) -> DataFrame:
     """Every piece of docs with its sequence_id and offset."""
-    pieces, _ = cut(cut_pieces(docs, tokenizer, room, end_id), "pieces")
-    by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
-    counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = plan_runs(counts, room)
-    lengths = np.array([p[0] for p in plan], np.int64)
-    ranks, firsts, offsets = (np.array([p[i] for p in plan], np.int64) for i in (1, 3, 4))
-    order = np.lexsort((ranks, lengths))
-    lengths, ranks, firsts, offsets = lengths[order], ranks[order], firsts[order], offsets[order]
-
-    def place(batches):
-        low = {int(x): int(np.searchsorted(lengths, x)) for x in np.unique(lengths)}
-        high = {int(x): int(np.searchsorted(lengths, x, "right")) for x in np.unique(lengths)}
-        for batch in batches:
-            own, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
-            at = np.zeros(len(own), np.int64)
-            for x in np.unique(own).tolist():
-                rows = own == x
-                at[rows] = low[x] + np.searchsorted(ranks[low[x] : high[x]], rank[rows], "right") - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(firsts[at] + rank - ranks[at]), pa.array(offsets[at])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    before = by_task.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))).select("length", "task", F.coalesce("before", F.lit(0)).alias("before"))
-    ranked = pieces.join(before, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    pieces, _ = cut(cut_pieces(docs, tokenizer, room, end_id), "packing-pieces")
+    placed, paths = place(pieces.select("pid", "length"), room, per_range)
+    # A sequence has at most `room` pieces.
+    before = F.sum("length").over(Window.partitionBy("seq").orderBy("turn", "slot").rowsBetween(Window.unboundedPreceding, -1))
+    where = placed.select("pid", F.col("seq").alias("sequence_id"), F.coalesce(before, F.lit(0)).alias("offset"))
+    where, _ = cut(where, "packing-places")
+    forget(docs.sparkSession, *paths)
+    return pieces.join(where, "pid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
