@@ -105,3 +105,35 @@ def test_more_copies_than_asked_in_the_sample(spark):
         for r in nearest(table(spark, np.arange(900), x)).collect():
             got.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
         assert {q: sorted(rows) for q, rows in got.items()} == {q: [(n, 0.0, q + n) for n in range(1, 11)] for q in range(0, 900, 100)}
+
+
+@pytest.mark.parametrize("target", [0, 40])
+def test_repeated_rows_are_one(spark, target):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 16)).round(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [rows[0]] * 11 + [rows[100]] + [rows[7]] * 30 + [(200, (x[200] + 5).tolist())]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), k=5, recall=1.0, confidence=50.0, target=target).collect()
+    one = dict(reversed([(i, v) for i, v in rows if i != 200]))
+    one[200] = min((v for i, v in rows if i == 200), key=lambda v: np.array(v, "<f8").tobytes())
+    for q in (0, 100, 200, 300):
+        want = sorted((float(np.sqrt(((np.array(one[q]) - np.array(v)) ** 2).sum())), i) for i, v in one.items() if i != q)[:5]
+        mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [(r, i) for r, i, _ in mine] == [(n + 1, i) for n, (_, i) in enumerate(want)]
+        assert np.allclose([s for *_, s in mine], [d for d, _ in want], rtol=1e-12)
+
+
+@pytest.mark.parametrize("n", [2000, 8000])
+def test_recall_at_two_sizes(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(40, 24))[rng.integers(0, 40, n)] + 0.4 * rng.normal(size=(n, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in nearest(df, every=50, target=60).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, n, 50):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 0.9 * 10 * len(range(0, n, 50))
