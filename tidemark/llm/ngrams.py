@@ -12,13 +12,13 @@ already is not looked at, so the links made are enough to join each class and ca
    partitions; any list gives the same result, a good one keeps groups small.
 3. In that order a set's first n - ceil(0.8 n) + 1 shingles are its prefix; linked sets share
    one. Sets meet in the groups of their prefix shingles; groups of the same members are one.
-4. In each group the sets form signature trees: leaves and inner nodes hold OR-combined
-   bitmaps of shingles and size ranges. A dual traversal drops node pairs whose sizes or whose
-   maximum possible overlap rule a link out, and those that lie in one class already. A group
-   of over `block` sets is dealt out as pairs of blocks.
-5. Surviving pairs are verified on the whole sets. A first round pairs each group's sets with
-   one of them alone, the one of most groups, which joins large families in linear work; the
-   second round takes all pairs that the first left in different classes.
+4. Candidates come from signature trees over a group's sets in order of size: leaves and inner nodes
+   hold OR-combined bitmaps of shingles and size ranges, and a dual traversal drops node
+   pairs whose sizes or whose maximum possible overlap rule a link out. In the first round the tree of a
+   group's lead, its set of most groups, meets the tree of the others, which joins large families in
+   linear work; the second round's traversal is of each group's tree with itself, and also drops
+   node pairs that lie in one class already. Families and groups of many sets are dealt out in parts.
+5. Surviving pairs are verified on the whole sets, the lead's being sent once for each part.
 
 Null texts are empty; an empty text, or one without words, has no shingles and links with
 nothing. Repeated rows are documents of their own in one class. An empty table gives no rows.
@@ -38,6 +38,8 @@ from .shared import components, cut, forget, fresh_worker, shuffle_partitions, t
 WORDS = 5
 _C = np.uint64(0x9E3779B97F4A7C15)
 SLICE = 1 << 21
+#: Sets of a family, or rows of a group, that joins and trees take as one key; rows of a token held to see which groups are equal.
+PART, HELD = 256, 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -119,17 +121,6 @@ def fold(sig: np.ndarray, words: int) -> np.ndarray:
     return sig
 
 
-def could_link(n: int, sig: bytes, m: int, other: bytes) -> bool:
-    """Whether sizes and bitmaps leave a link between two sets possible."""
-    if 5 * n < 4 * m or 5 * m < 4 * n:
-        return False
-    x, y = np.frombuffer(sig, np.uint64), np.frombuffer(other, np.uint64)
-    words = min(len(x), len(y))
-    x, y = fold(x, words), fold(y, words)
-    spare = min(n - int(np.bitwise_count(x).sum()), m - int(np.bitwise_count(y).sum()))
-    return 9 * min(n, m, int(np.bitwise_count(x & y).sum()) + spare) >= 4 * (n + m)
-
-
 class Tree:
     """Sets in order of size; level 0 has single sets, each level above nodes of FAN.
 
@@ -330,63 +321,68 @@ def _prepare(docs: DataFrame, frequent: int) -> tuple[DataFrame, str]:
     return cut(texts_of(docs).mapInArrow(prepare, "doc_id long, n long, sid long, sig binary, prefix binary"), "ngram-sets")
 
 
-def _groups(prepared: DataFrame) -> DataFrame:
-    """(gid, sid) of groups of two or more sets that share a prefix shingle; equal groups are one."""
+def _groups(prepared: DataFrame, held: int = HELD) -> DataFrame:
+    """(gid, c, sid) of groups of two or more sets that share a prefix shingle, in parts c of PART sets; equal groups are one."""
 
     def explode(batches):
         for batch in batches:
             sizes, sid = [len(x) // 8 for x in batch.column(1).to_pylist()], batch.column(0).to_numpy()
             yield _batch("token sid", np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64), np.repeat(sid, sizes))
 
-    def meet(batches):
-        rest_t, rest_s = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def settle(t, s):
-            if not len(t):
-                return None
-            new = np.ones(len(t), bool)
-            new[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
-            t, s = t[new], s[new]
-            starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-            sizes = np.diff(np.append(starts, len(t)))
-            gid = np.add.reduceat(mix(s.astype(np.uint64)), starts) + mix(sizes.astype(np.uint64))
-            keep = sizes > 1
-            _, first = np.unique(gid, return_index=True)
-            once = np.zeros(len(gid), bool)
-            once[first] = True
-            rows = np.repeat(keep & once, sizes)
-            return _batch("gid sid", np.repeat(gid, sizes)[rows].astype(np.int64), s[rows])
+    def settle(t, s):
+        """Whole runs of tokens."""
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
+        t, s = t[new], s[new]
+        starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        sizes = np.diff(np.append(starts, len(t)))
+        gid = np.add.reduceat(mix(s.astype(np.uint64)), starts) + mix(sizes.astype(np.uint64))
+        _, first = np.unique(gid, return_index=True)
+        once = np.zeros(len(gid), bool)
+        once[first] = True
+        rows = np.repeat((sizes > 1) & once, sizes)
+        place = np.arange(len(t)) - np.repeat(starts, sizes)
+        return _batch("gid c sid", np.repeat(gid, sizes)[rows].astype(np.int64), place[rows] // PART, s[rows])
 
+    def meet(batches):
+        rest_t = rest_s = np.zeros(0, np.int64)
+        long, at = None, 0  # a token of more rows than are held, and how many of them were let go
         for batch in batches:
             t, s = np.concatenate([rest_t, batch.column(0).to_numpy()]), np.concatenate([rest_s, batch.column(1).to_numpy()])
+            if long is not None:
+                own = int(np.searchsorted(t != long, True))
+                yield _batch("gid c sid", np.full(own, long), (at + np.arange(own)) // PART, s[:own])
+                t, s, at = t[own:], s[own:], at + own
+                if len(t):
+                    long = None
             if not len(t):
+                rest_t = rest_s = np.zeros(0, np.int64)
                 continue
-            last = int(np.searchsorted(t, t[-1]))
-            if last and last < len(t):
-                out = settle(t[:last], s[:last])
-                rest_t, rest_s = t[last:], s[last:]
-                if out is not None:
-                    yield out
-            else:
-                rest_t, rest_s = t, s
-        out = settle(rest_t, rest_s)
-        if out is not None:
-            yield out
+            last = len(t) - int(np.searchsorted(t[::-1] != t[-1], True))
+            if last:
+                yield settle(t[:last], s[:last])
+            rest_t, rest_s = t[last:], s[last:]
+            if len(rest_t) > held:
+                long, at = rest_t[0], len(rest_t)
+                yield _batch("gid c sid", rest_t, np.arange(at) // PART, rest_s)
+                rest_t = rest_s = np.zeros(0, np.int64)
+        if len(rest_t):
+            yield settle(rest_t, rest_s)
         trim()
 
     spark = prepared.sparkSession
     tokens = prepared.where("prefix is not null").select("sid", "prefix").mapInArrow(explode, "token long, sid long")
-    met = tokens.repartition(shuffle_partitions(spark), "token").sortWithinPartitions("token", "sid").mapInArrow(meet, "gid long, sid long")
+    met = tokens.repartition(shuffle_partitions(spark), "token").sortWithinPartitions("token", "sid").mapInArrow(meet, "gid long, c long, sid long")
     return met.dropDuplicates(["gid", "sid"])
 
 
 def _verify(docs: DataFrame, prepared: DataFrame, pairs: DataFrame, label: str, bound: int = 1 << 20) -> tuple[DataFrame, str]:
-    """(a, b) of the pairs of sets that link, by the whole sets of their documents.
+    """(a, b) of the pairs of sets (hub, ch, sid) that link, by the whole sets of their documents.
 
-    Shingles are made again, from those documents' texts alone, instead of kept for all. The
+    A task holds one hub's set and meets the others of a part ch with it as they come. Shingles are made again, from those documents' texts alone, instead of kept for all. The
     documents' ids are broadcast up to `bound`; beyond, documents meet them in a join.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    wanted = pairs.select(F.explode(F.array("hub", "sid")).alias("sid")).distinct()
     named = prepared.where("sig is not null").select("sid", "doc_id").join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("_id"))
     named, p_named = cut(named.select("_id").distinct(), f"{label}-wanted")
     if named.count() <= bound:
@@ -406,46 +402,58 @@ def _verify(docs: DataFrame, prepared: DataFrame, pairs: DataFrame, label: str,
     sets, p_sets = cut(chosen.select("text").mapInArrow(make, "sid long, shingles binary"), f"{label}-sets")
 
     def check(batches):
+        of, hub = None, None
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (s, t) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                both = np.sort(np.concatenate([s, t]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * common >= 80 * (len(s) + len(t) - common)
-            yield _batch("a b", batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)))
-
-    x, y = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
-    links, path = cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), f"{label}-links")
+            a, b, keep = batch.column(0).to_numpy(), batch.column(3).to_numpy(), np.zeros(batch.num_rows, bool)
+            for i, (kind, raw) in enumerate(zip(batch.column(2).to_pylist(), batch.column(4).to_pylist())):
+                t = np.frombuffer(raw, np.uint64)
+                if kind == 0:
+                    of, hub = a[i], t
+                elif of == a[i]:
+                    both = np.sort(np.concatenate([hub, t]), kind="stable")
+                    common = int((both[1:] == both[:-1]).sum())
+                    keep[i] = 100 * common >= 80 * (len(hub) + len(t) - common)
+            yield _batch("a b", np.minimum(a, b)[keep], np.maximum(a, b)[keep])
+
+    others = pairs.join(sets, "sid").select("hub", "ch", F.lit(1).alias("kind"), "sid", "shingles")
+    hubs = pairs.select("hub", "ch").distinct().join(sets, F.col("hub") == F.col("sid")).select("hub", "ch", F.lit(0).alias("kind"), "sid", "shingles")
+    met = hubs.union(others).repartition(shuffle_partitions(docs.sparkSession), "hub", "ch").sortWithinPartitions("hub", "ch", "kind")
+    links, path = cut(met.mapInArrow(check, "a long, b long"), f"{label}-links")
     forget(docs.sparkSession, p_named, p_sets)
     return links, path
 
 
-def jaccard_links(docs: DataFrame, frequent: int = 1 << 18, block: int = 2048) -> tuple[DataFrame, DataFrame, list[str]]:
+def jaccard_links(docs: DataFrame, frequent: int = 1 << 18, block: int = 2048, held: int = HELD) -> tuple[DataFrame, DataFrame, list[str]]:
     """Documents (doc_id, n, sid), links (a, b) between sets that join every class, and the scratch paths they read."""
     spark = docs.sparkSession
     prepared, p_prepared = _prepare(docs, frequent)
-    groups, p_groups = cut(_groups(prepared), "ngram-groups")
+    groups, p_groups = cut(_groups(prepared, held), "ngram-groups")
     members = groups.select("sid").distinct()
     wide = prepared.where("sig is not null").select("sid", "n", "sig").join(members, "sid", "left_semi").dropDuplicates(["sid"])
     wide, p_wide = cut(wide, "ngram-members")
     n = shuffle_partitions(spark)
-    # A group's first is its set of most groups: the original of a family rather than one of its edited copies.
+    # A group's lead is its set of most groups: the original of a family rather than one of its edited copies.
     degree = groups.groupBy("sid").agg(F.count("*").alias("degree"))
     lead = F.max(F.struct("degree", "sid"))["sid"]
-    sizes, p_sizes = cut(groups.join(degree, "sid").groupBy("gid").agg(F.count("*").alias("size"), lead.alias("first")), "ngram-sizes")
-
-    def star(batches):
-        for batch in batches:
-            keep = [could_link(*row) for row in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))]
-            keep = pa.array(keep, pa.bool_())
-            yield _batch("a b", batch.column(0).filter(keep), batch.column(1).filter(keep))
-
-    own = groups.join(sizes, "gid").where("sid <> first").select(F.least("first", "sid").alias("first"), F.greatest("first", "sid").alias("sid")).distinct()
-    other = wide.select(F.col("sid").alias("first"), F.col("n").alias("first_n"), F.col("sig").alias("first_sig"))
-    near = (F.col("n") * 5 >= F.col("first_n") * 4) & (F.col("first_n") * 5 >= F.col("n") * 4)
-    sized = own.join(wide.select("sid", "n"), "sid").join(other.select("first", "first_n"), "first").where(near).select("first", "sid")
-    pairs = sized.join(wide, "sid").join(other, "first").select("first", "sid", "n", "sig", "first_n", "first_sig").mapInArrow(star, "a long, b long")
+    sizes = groups.join(degree, "sid").groupBy("gid").agg(F.count("*").alias("size"), F.max("c").alias("top"), lead.alias("lead")).where("size > 1")
+    sizes, p_sizes = cut(sizes, "ngram-sizes")
+    # Joins on a group go by its parts, so that no key has more rows than a part.
+    by_part = sizes.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), "top")))
+    parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("size") / PART)))).cast("long")
+    own = groups.join(by_part, ["gid", "c"]).where("sid <> lead").select(F.col("lead").alias("hub"), F.pmod(F.xxhash64("sid"), parts).alias("ch"), "sid").distinct()
+    own, p_own = cut(own, "ngram-families")
+    heads = own.select("hub", "ch").distinct().join(wide, F.col("hub") == F.col("sid")).select("hub", "ch", F.lit(0).alias("kind"), "sid", "n", "sig")
+    family = heads.union(own.join(wide, "sid").select("hub", "ch", F.lit(1).alias("kind"), "sid", "n", "sig"))
+
+    def meet_lead(batches):
+        for g in groups_in(batches, 2):
+            hub, ch, kind, sid, size, sig = (g.column(k) for k in range(6))
+            ids = sid.to_numpy()
+            a, b = candidate_pairs(ids, size.to_numpy(), sig.to_pylist(), np.arange(len(ids)), kind.to_numpy())
+            one = hub[0].as_py()
+            yield _batch("hub ch sid", np.full(len(a), one), np.full(len(a), ch[0].as_py(), np.int64), np.where(a == one, b, a))
+
+    pairs = family.repartition(n, "hub", "ch").sortWithinPartitions("hub", "ch", "kind").mapInArrow(meet_lead, "hub long, ch long, sid long")
     pairs, p_pairs = cut(pairs, "ngram-pairs")
     links, p_links = _verify(docs, prepared, pairs, "ngram-first")
     classes, p_classes = components(links, "ngram-first")
@@ -470,16 +478,18 @@ def jaccard_links(docs: DataFrame, frequent: int = 1 << 18, block: int = 2048) -
             yield once()
 
     k = F.ceil(F.col("size") / block).cast("int")
-    left = groups.join(sizes.where("size > 2"), "gid").withColumn("k", k).withColumn("c", F.pmod(F.xxhash64("sid"), "k").cast("int"))
-    left = left.join(wide.select("sid", "n"), "sid").join(classes.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    left = groups.join(by_part.where("size > 2"), ["gid", "c"]).withColumn("k", k).withColumn("b", F.pmod(F.xxhash64("sid"), "k").cast("int"))
+    left = left.join(classes.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     # Groups whose sets are of one class need no second look.
-    open_groups = left.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gid")
-    left = left.join(open_groups, "gid", "left_semi").join(wide.select("sid", "sig"), "sid")
-    dealt = left.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("gid", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.when(F.col("c") > F.col("o"), 1).otherwise(0).alias("side"), "sid", "n", "sig", "component")
+    open_groups = left.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("top").alias("top")).where("lo <> hi")
+    open_groups = open_groups.select("gid", F.explode(F.sequence(F.lit(0).cast("long"), "top")).alias("c"))
+    left = left.join(open_groups, ["gid", "c"], "left_semi").join(wide, "sid")
+    dealt = left.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("gid", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") > F.col("o"), 1).otherwise(0).alias("side"), "sid", "n", "sig", "component")
     more = dealt.repartition(n, "gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(descend, "a long, b long").distinct()
     more, p_more = cut(more, "ngram-more")
+    more = more.select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.lit(64)).alias("ch"), F.col("b").alias("sid"))
     second, p_second = _verify(docs, prepared, more, "ngram-second")
-    forget(spark, p_groups, p_wide, p_sizes, p_pairs, p_more, p_classes)
+    forget(spark, p_groups, p_wide, p_sizes, p_own, p_pairs, p_more, p_classes)
     return prepared.select("doc_id", "n", "sid"), links.union(second), [p_prepared, p_links, p_second]
 
 
