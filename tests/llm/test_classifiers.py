@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm.quality import Features, held_out, isotonic, keep_good, quality, statistics
-from tidemark.llm.toxicity import Chain, keep_clean, logistic, toxicity
+from tidemark.llm.toxicity import BEGINNINGS, Chain, Rows, fit, keep_clean, logistic, normal, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -113,13 +113,77 @@ def test_later_models_read_earlier_probabilities():
     rng = np.random.default_rng(0)
     x = rng.poisson(0.5, (600, 4)).astype(float)
     y = np.stack([x[:, 0] > 0, (x[:, 0] > 0) & (x[:, 1] > 0)], 1).astype(float)
-    chain = Chain(x, y)
+    chain = Chain(Rows.of(x), y)
     assert [len(w) for w in chain.weights] == [5, 6] and chain.weights[1][4] > 0
-    assert ((chain.predict(x) > 0.5) == (y > 0.5)).mean() > 0.95
-    w = logistic(np.hstack([x, np.ones((600, 1))]), y[:, 0])
+    assert ((chain.predict(Rows.of(x)) > 0.5) == (y > 0.5)).mean() > 0.95
+    w = logistic(Rows.of(np.hstack([x, np.ones((600, 1))])), y[:, 0])
     assert w[0] > 1 and abs(w[2]) < 0.5
 
 
+def newton(x, y, ridge=1.0):
+    w, shrink = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    shrink[-1] = 1e-6
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w += np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(shrink), x.T @ (y - p) - shrink * w)
+    return w
+
+
+def test_chain_is_that_of_dense_loops(spark):
+    """Features, folds, chain and scores by a plain second implementation, over all documents."""
+    rng, docs, labels = random.Random(7), [], []
+    words = {"en": [f"the{i}" for i in range(60)], "de": [f"der{i}" for i in range(60)]}
+    for i in range(500):
+        lang = rng.choice(["en", "en", "de"])
+        w = rng.choices(words[lang], k=rng.randrange(0, 40))
+        toxic = i % 4 == 0
+        if toxic:
+            w += [rng.choice({"en": ["badword", "badwords"], "de": ["schlimm"]}[lang])] * rng.randrange(1, 3)
+        docs.append((i, " ".join(w), lang))
+        if i < 400:
+            labels.append((i, int(toxic) if rng.random() < 0.95 else 1 - int(toxic)))
+    frame, told = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity(frame, told).collect()}
+
+    def features(text):
+        out = {}
+        for w in normal(text).split():
+            for m in [f" {w} ", *(f" {w[:k]}" for k in BEGINNINGS if len(w) > k)]:
+                out[m] = out.get(m, 0) + 1
+        return out
+
+    found, y = {i: features(t) for i, t, _ in docs}, dict(labels)
+    n1 = sum(y.values())
+    n0 = len(y) - n1
+    kept = []
+    for m in {m for f in found.values() for m in f}:
+        a, b = (sum(m in found[i] for i in y if y[i] == v) for v in (1, 0))
+        cells = [(a, (a + b) * n1), (b, (a + b) * n0), (n1 - a, (n1 + n0 - a - b) * n1), (n0 - b, (n1 + n0 - a - b) * n0)]
+        if a * n0 > b * n1 and 2 * sum(s * np.log(s * (n1 + n0) / o) for s, o in cells if s) >= 15:
+            kept.append(m)
+    kept.sort()
+    fitted = fit(frame, told)
+    assert fitted.markers.markers == kept and fitted.categories == ["toxic:en", "toxic:de", "toxic"]
+    # The automaton counts a beginning in words that are no longer too.
+    x = np.log1p([[sum(f" {w} ".startswith(m) for w in normal(t).split()) for m in kept] for _, t, _ in docs])
+    lang = {i: g for i, _, g in docs}
+    ids = sorted(y)
+    own, one = x[ids], np.ones((len(ids), 1))
+    targets = [[y[i] * (lang[i] == "en") for i in ids], [y[i] * (lang[i] == "de") for i in ids], [y[i] for i in ids]]
+    fold, earlier, scores = np.arange(len(ids)) % 3, np.zeros((len(ids), 0)), np.zeros((len(docs), 0))
+    for t in map(np.array, targets):
+        seen = np.hstack([own, earlier, one])
+        w = newton(seen, t)
+        scores = np.hstack([scores, 1 / (1 + np.exp(-np.clip(np.hstack([x, scores, np.ones((len(docs), 1))]) @ w, -30, 30)))[:, None]])
+        out = np.zeros(len(ids))
+        for f in range(3):
+            out[fold == f] = 1 / (1 + np.exp(-np.clip(seen[fold == f] @ newton(seen[fold != f], t[fold != f]), -30, 30)))
+        earlier = np.hstack([earlier, out[:, None]])
+    for i, _, _ in docs:
+        assert np.allclose([got[i].categories[c] for c in fitted.categories], scores[i], atol=1e-6)
+        assert got[i].score == got[i].categories["toxic"] and got[i].toxic == (got[i].score >= 0.5)
+
+
 def test_toxicity_of_odd_tables(odd_docs, no_docs, odd_labels):
     assert toxicity(odd_docs, odd_labels).count() == 12
     assert toxicity(no_docs, odd_labels).count() == 0
