@@ -1,9 +1,11 @@
 """Near-duplicate vectors and nearest neighbours against brute force."""
 
+import math
+
 import numpy as np
 import pytest
 
-from tidemark.llm.near_vectors import near_vectors
+from tidemark.llm.near_vectors import CELL, WINDOW, calibrate, cell_chance, near_vectors
 from tidemark.llm.nearest import nearest
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score double, rank int"
@@ -45,14 +47,13 @@ def test_links_and_classes(spark, seed, noise, size):
     n = np.array([got[i].n_links for i in ids])
     want = link.sum(axis=1)
     assert (n <= want).all() and n.sum() >= 0.99 * want.sum()
-    if (n == want).all():
-        least = ids.copy()
-        for _ in range(700):
-            new = np.minimum(least, np.where(link, least[None, :], 1 << 40).min(axis=1))
-            if (new == least).all():
-                break
-            least = new
-        assert [got[i].component_id for i in ids] == least.tolist()
+    least = ids.copy()
+    for _ in range(700):
+        new = np.minimum(least, np.where(link, least[None, :], 1 << 40).min(axis=1))
+        if (new == least).all():
+            break
+        least = new
+    assert [got[i].component_id for i in ids] == least.tolist()
     for i in ids:
         assert got[i].kept == (got[i].component_id == i)
     for row in ODD:
@@ -137,3 +138,27 @@ def test_recall_at_two_sizes(spark, n):
         d[q] = np.inf
         hits += len(got[q] & set(np.argsort(d)[:10].tolist()))
     assert hits >= 0.9 * 10 * len(range(0, n, 50))
+
+
+def test_a_loose_family(spark):
+    """Vectors of cosine about 0.96 to each other, and as many strangers: no pair list, all links."""
+    rng = np.random.default_rng(6)
+    c = rng.normal(size=48)
+    x = c / np.linalg.norm(c) + rng.normal(size=(1500, 48)) * 0.2 / np.sqrt(48)
+    x = np.concatenate([x, rng.normal(size=(1500, 48))])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    link = u @ u.T >= 0.95
+    np.fill_diagonal(link, False)
+    assert 0.3 < link[:1500, :1500].mean() < 0.999
+    got = {r.vec_id: r for r in near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)).collect()}
+    n, want = np.array([got[i].n_links for i in range(3000)]), link.sum(1)
+    assert (n <= want).all() and n.sum() >= 0.99 * want.sum()
+    assert all(got[i].component_id == (0 if want[i] and i < 1500 else i) for i in range(3000))
+
+
+def test_the_count_is_calibrated():
+    for total in (100, 10**5, 10**9):
+        cells, lists, count, near = calibrate(total, 0.95, 0.995)
+        p = cell_chance(near, CELL * near) ** cells * math.erf(WINDOW / math.sqrt(2))
+        at_least = lambda c: sum(math.comb(lists, k) * p**k * (1 - p) ** (lists - k) for k in range(c, lists + 1))
+        assert count >= 3 and at_least(count) >= 0.995 > at_least(count + 1)

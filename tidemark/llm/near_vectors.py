@@ -1,21 +1,24 @@
 """Near-duplicate vectors by counting collisions of one-dimensional projections.
 
-Two vectors link when their cosine is at least `least`. `L` sorted lists hold all vectors,
-each by its own random projections: some round a vector to a cell, the last orders the cell.
-A window centred at each vector, within its cell, gives its collisions; pairs with at least
-`count` collisions over all lists are verified exactly. Cells, L and the count are calibrated
-from the collision chance of a pair just at the threshold (nearer pairs collide more often):
-such a pair is found with a chance of `recall`; the number of projections a cell takes grows
-with the logarithm of the number of vectors, so that strangers rarely meet.
-
-Equal vectors are one, with a weight. Vectors close together form balls first: all members lie
-within half the threshold's angle of the ball's centre, so all of them link, unlisted. In the
-sorted lists a ball's members in one cell are one interval. A pair of balls that the triangle inequality decides
-is linked or dropped whole; other pairs are compared member by member in blocks. So a group that holds
-much of the table costs rows in proportion to its size, and its links are still all counted.
+Two vectors link when their cosine is at least `least`. Sorted lists hold all vectors, each in order
+of a random projection of its own; in a list, further projections, rounded, keep strangers
+apart in cells (their number grows with the logarithm of the number of vectors), which is what lets a window
+stay small in a long list. A window centred at each vector, within its cell, gives its collisions;
+pairs that collide in at least `count` lists are verified exactly. There are as many lists as a pair just
+at the threshold collides in MEAN of on average, and the count is the largest that such a pair reaches
+with a chance of `recall` (nearer pairs collide more often).
+
+Equal vectors are one, with a weight. Vectors close together are grouped before that, in coarse cells
+cut by another projection: a tight group lies within half the threshold's angle of its centre, so all its
+members link; the members of a loose group link with its leader, and their links with each other are
+counted there, block by block. No link inside a group is listed. In the sorted lists a group's members
+in one cell are one interval. Groups that the triangle inequality decides are linked or dropped whole;
+others are compared member by member in blocks. So a family that holds much of the table costs rows
+in proportion to its size, and its links are still all counted.
 
 Vectors that are null, of another width than most, zero or not finite link with nothing.
-Rows with equal vec_id are vectors of their own; a null vec_id is kept and links with nothing.
+Rows with equal vec_id are vectors of their own; a null vec_id is kept and links with nothing. An empty
+table gives no rows; other columns, of any name, are left out.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from .vectors import common_width, parse, stack
 CELL = 4.0  # a cell's width, and
 WINDOW = 2.0  # a window's half width, in distances at the threshold
 BALL, BLOCK, MARGIN = 8, 4096, 1e-6
+#: Lists in which a pair at the threshold collides, on average.
+MEAN = 12
 
 
 def cell_chance(distance: float, width: float) -> float:
@@ -42,17 +47,18 @@ def cell_chance(distance: float, width: float) -> float:
     return math.erf(u / math.sqrt(2)) - math.sqrt(2 / math.pi) / u * (1 - math.exp(-u * u / 2))
 
 
-def calibrate(total: int, least: float, recall: float, count: int) -> tuple[int, int, float]:
-    """Projections of a cell, number of lists, and the distance of unit vectors at the threshold."""
+def calibrate(total: int, least: float, recall: float, mean: float = MEAN) -> tuple[int, int, int, float]:
+    """Projections of a cell, number of lists, the count that a pair at the threshold reaches with a chance of recall, and its distance."""
     near, far = math.sqrt(2 - 2 * least), math.sqrt(2)
     stranger = cell_chance(far, CELL * near)
     window = math.erf(WINDOW / math.sqrt(2))
     cells = max(1, math.ceil(math.log(max(2.0, total)) / -math.log(stranger)))
     p = cell_chance(near, CELL * near) ** cells * window
-    lists = count
-    while sum(math.comb(lists, k) * p**k * (1 - p) ** (lists - k) for k in range(count)) > 1 - recall:
-        lists += 1
-    return cells, lists, near
+    lists, count, below = math.ceil(mean / p), 0, 0.0
+    while below <= 1 - recall:
+        below += math.comb(lists, count) * p**count * (1 - p) ** (lists - count)
+        count += 1
+    return cells, lists, max(1, count - 1), near
 
 
 class Lists:
@@ -66,30 +72,38 @@ class Lists:
         self.order = rng.normal(size=(width, lists))
         self.odd = rng.integers(1, 1 << 63, cells, dtype=np.uint64) | np.uint64(1)
 
-    def cells(self, x: np.ndarray, k: int) -> np.ndarray:
-        at = np.floor((x @ self.rounding[k] + self.shift[k]) / self.size).astype(np.int64).astype(np.uint64)
-        return mix((at * self.odd).sum(axis=1, dtype=np.uint64) + np.uint64(k)).astype(np.int64)
+    def cells(self, x: np.ndarray, k: int, some: int | None = None) -> np.ndarray:
+        """Each vector's cell in a list, by all of its projections or the first few."""
+        at = np.floor((x @ self.rounding[k][:, :some] + self.shift[k][:some]) / self.size).astype(np.int64).astype(np.uint64)
+        return mix((at * self.odd[:some]).sum(axis=1, dtype=np.uint64) + np.uint64(k)).astype(np.int64)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def balls_in(x: np.ndarray, least: float) -> list[np.ndarray]:
-    """Groups of at least BALL unit vectors, each within half the threshold's angle of the group's centre."""
+def balls_in(x: np.ndarray, least: float) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+    """Groups of at least BALL unit vectors (places, centre, whether tight).
+
+    A tight one lies within half the threshold's angle of its centre, a loose one links with its leader.
+    """
     half = math.acos(least) / 2 - MARGIN
     free, out = np.arange(len(x)), []
     while len(free) >= BALL:
-        near = free[x[free] @ x[free[0]] >= least]
-        took = np.zeros(0, np.int64)
-        if len(near) >= BALL:
-            c = x[near].mean(axis=0)
-            took = free[x[free] @ (c / np.linalg.norm(c)) >= math.cos(half)]
-        if len(took) >= BALL:
-            out.append(took)
-            free = np.setdiff1d(free, took, assume_unique=True)
+        dots = x[free] @ x[free[0]]
+        near = free[dots >= least + MARGIN]
+        if len(near) < BALL:
+            free = free[1:]
             continue
-        free = free[1:]
+        c = x[near].mean(axis=0)
+        c /= np.linalg.norm(c)
+        tight = x[free] @ c >= math.cos(half)
+        if tight.sum() >= BALL and tight.sum() >= len(near) // 2:
+            out.append((free[tight], c, True))
+            free = free[~tight]
+        else:
+            out.append((near, x[free[0]], False))
+            free = free[dots < least + MARGIN]
     return out
 
 
@@ -102,22 +116,24 @@ def _raw(x: np.ndarray) -> pa.Array:
 
 
 def _grouped(width: int, least: float):
-    """Members (rep, w, v, ent) of balls and single vectors, from rows sorted by cell."""
+    """Members (rep, w, v, ent, inner) of groups and single vectors, from rows sorted by cell; inner is a vector's links inside its group."""
 
     def run(batches):
-        for g in groups_in(batches, 1):
-            for at in range(0, g.num_rows, BLOCK):
-                part = g.slice(at, BLOCK)
-                x, rep = stack(part.column(3), width), part.column(1).to_numpy()
-                ent, radius = rep.copy(), np.zeros(len(rep))
-                centre = unit(x)
-                u = centre.copy()
-                for ball in balls_in(u, least):
-                    c = u[ball].mean(axis=0)
-                    c /= np.linalg.norm(c)
-                    ent[ball], centre[ball] = rep[ball].min(), c
-                    radius[ball] = np.arccos(np.clip(u[ball] @ c, -1, 1)).max() + MARGIN / 4
-                yield _batch("rep w v ent centre radius", part.column(1), part.column(2), part.column(3), ent, _raw(centre), radius)
+        for part in groups_in(batches, 1, BLOCK):
+            rep, w = part.column(2).to_numpy(), part.column(3).to_numpy()
+            ent, radius, inner = rep.copy(), np.zeros(len(rep)), w - 1
+            u = unit(stack(part.column(4), width))
+            centre = u.copy()
+            for ball, c, tight in balls_in(u, least):
+                ent[ball], centre[ball] = rep[ball].min(), c
+                radius[ball] = np.arccos(np.clip(u[ball] @ c, -1, 1)).max() + MARGIN / 4
+                if tight:
+                    inner[ball] = w[ball].sum() - 1
+                else:
+                    linked = u[ball] @ u[ball].T >= least
+                    np.fill_diagonal(linked, True)
+                    inner[ball] = linked @ w[ball] - 1
+            yield _batch("rep w v ent inner centre radius", part.column(2), part.column(3), part.column(4), ent, inner, _raw(centre), radius)
 
     return run
 
@@ -142,7 +158,7 @@ def _windows(reach: float):
     return run
 
 
-def near_vectors(table: DataFrame, least: float = 0.95, recall: float = 0.995, count: int = 2, seed: int = 5) -> DataFrame:
+def near_vectors(table: DataFrame, least: float = 0.95, recall: float = 0.995, seed: int = 5) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     spark = table.sparkSession
     n = shuffle_partitions(spark)
@@ -160,18 +176,19 @@ def near_vectors(table: DataFrame, least: float = 0.95, recall: float = 0.995, c
     # Equal vectors are one: its id the smallest vec_id, its weight their number.
     reps, p_reps = cut(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w")), "near-reps")
     total = reps.count()
-    cells, lists, near = calibrate(total, least, recall, count)
+    cells, lists, count, near = calibrate(total, least, recall)
     shared = spark.sparkContext.broadcast(Lists(max(1, width), cells, lists, near, seed))
 
-    def first_cell(batches):
+    def coarse(batches):
         for batch in batches:
             if batch.num_rows:
-                yield _batch("cell rep w v", shared.value.cells(unit(stack(batch.column(0), width)), 0), batch.column(1), batch.column(2), batch.column(0))
+                u, own = unit(stack(batch.column(0), width)), shared.value
+                yield _batch("cell at rep w v", own.cells(u, 0, -(-cells // 3)), u @ own.order[:, 0], batch.column(1), batch.column(2), batch.column(0))
 
-    # Ranges of (cell, rep) split a cell of many vectors over tasks.
-    celled = reps.select("v", "rep", "w").mapInArrow(first_cell, "cell long, rep long, w long, v binary")
-    sorted_ = celled.repartitionByRange(n, "cell", "rep").sortWithinPartitions("cell", "rep")
-    members, p_members = cut(sorted_.mapInArrow(_grouped(width, least), "rep long, w long, v binary, ent long, centre binary, radius double"), "near-members")
+    # Ranges of (cell, place) split a cell of many vectors over tasks, neighbours together.
+    celled = reps.select("v", "rep", "w").mapInArrow(coarse, "cell long, at double, rep long, w long, v binary")
+    sorted_ = celled.repartitionByRange(n, "cell", "at", "rep").sortWithinPartitions("cell", "at", "rep")
+    members, p_members = cut(sorted_.mapInArrow(_grouped(width, least), "rep long, w long, v binary, ent long, inner long, centre binary, radius double"), "near-members")
     ents, p_ents = cut(members.groupBy("ent").agg(F.sum("w").alias("m"), F.max("radius").alias("radius"), F.first("centre").alias("centre"), F.count("*").alias("n")), "near-entities")
 
     def place(batches):
@@ -208,7 +225,7 @@ def near_vectors(table: DataFrame, least: float = 0.95, recall: float = 0.995, c
 
     # Pairs of balls that their centres leave open are compared member by member, block by block.
     blocks = members.join(decided.where("not whole").select(F.explode(F.array("a", "b")).alias("ent")).distinct(), "ent", "left_semi")
-    blocks = blocks.select("ent", "rep", "w", "v").join(ents.select("ent", "n"), "ent").withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / 512)))
+    blocks = blocks.select("ent", "rep", "w", "v").join(ents.select("ent", "n"), "ent").withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)))
     blocks, p_blocks = cut(blocks.groupBy("ent", "part").agg(F.sort_array(F.collect_list(F.struct("rep", "w", "v"))).alias("rows")), "near-blocks")
 
     def compare(batches):
@@ -230,8 +247,8 @@ def near_vectors(table: DataFrame, least: float = 0.95, recall: float = 0.995, c
     by_ent = whole.select(F.col("a").alias("ent"), F.col("m_b").alias("links")).union(whole.select(F.col("b").alias("ent"), F.col("m_a").alias("links"))).groupBy("ent").agg(F.sum("links").alias("beside"))
     by_rep = some.groupBy("rep").agg(F.sum("links").alias("some"))
     classes, p_classes = components(whole.select("a", "b").union(some.select("a", "b")), "near")
-    named = members.select("rep", "ent", "v").join(ents.select("ent", "m"), "ent").join(by_ent, "ent", "left").join(by_rep, "rep", "left").join(classes.select(F.col("node").alias("ent"), "component"), "ent", "left")
-    named = named.select("v", (F.col("m") - 1 + F.coalesce("beside", F.lit(0)) + F.coalesce("some", F.lit(0))).alias("links"), F.coalesce("component", "ent").alias("component"))
+    named = members.select("rep", "ent", "inner", "v").join(by_ent, "ent", "left").join(by_rep, "rep", "left").join(classes.select(F.col("node").alias("ent"), "component"), "ent", "left")
+    named = named.select("v", (F.col("inner") + F.coalesce("beside", F.lit(0)) + F.coalesce("some", F.lit(0))).alias("links"), F.coalesce("component", "ent").alias("component"))
     named, _ = cut(named, "near-named")
     forget(spark, p_reps, p_members, p_ents, p_decided, p_blocks, p_some, p_classes)
     out = rows.join(named, "v", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))

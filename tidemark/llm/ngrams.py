@@ -225,8 +225,8 @@ def _batch(names: str, *arrays) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names.split())
 
 
-def groups_in(batches, keys: int):
-    """Runs of rows with equal first `keys` columns, as RecordBatches, from sorted batches."""
+def groups_in(batches, keys: int, most: int = 1 << 62):
+    """Runs of rows with equal first `keys` columns, as RecordBatches of at most `most` rows, from sorted batches."""
     rest = None
     for batch in batches:
         if not batch.num_rows:
@@ -239,8 +239,12 @@ def groups_in(batches, keys: int):
             change[1:] |= col[1:] != col[:-1]
         cuts = np.flatnonzero(change).tolist()
         for a, b in zip([0, *cuts], cuts):
-            yield batch.slice(a, b - a)
+            for at in range(a, b, most):
+                yield batch.slice(at, min(most, b - at))
         rest = batch.slice(cuts[-1] if cuts else 0)
+        while rest.num_rows > most:
+            yield rest.slice(0, most)
+            rest = rest.slice(most)
     if rest is not None:
         yield rest
 
