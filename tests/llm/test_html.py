@@ -1,9 +1,11 @@
 """Main text of pages, and the cut behind it."""
 
+import html
 import itertools
 import random
+import re
 
-from tidemark.llm.html_text import blocks_of, extract, main_text, minimum_cut
+from tidemark.llm.html_text import blocks_of, extract, labels_of, main_text, minimum_cut
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{a:b}</style><script>var t="</p><article>no</article>";</script></head>
 <body class="no-sidebar post-template"><header><a href="/">Home</a><h1>Site</h1></header><nav><ul><li><a href="/a">One</a></li></ul></nav>
@@ -87,3 +89,52 @@ def test_much_text_outweighs_a_name():
     for name in ("comments", "sidebar", "newsletter"):
         assert main_text(f'<article>{prose(20)}<div class="{name}">{prose(40)}</div></article>') == main_text("<article>" + prose(20))
     assert main_text(f'<article>{prose(2)}<div class="post" hidden>{prose(60)}</div><div role="dialog">{prose(4)}</div></article>') == main_text("<article>" + prose(2))
+
+
+def test_no_name_empties_an_article():
+    text = main_text("<article>" + prose(3))
+    for page in (f'<article id="search-history">{prose(3)}</article>', f'<div class="content sidebar-right"><article>{prose(3)}</article></div>', f'<div class="market-share"><article>{prose(3)}</article></div>', f'<form id="aspnet"><nav><a href="/">Home</a></nav><article>{prose(3)}</article></form>', f'<article><section id="related-work">{prose(3)}</section></article>'):
+        assert main_text(page) == text, page
+    comments = f'<section class="comments"><article class="comment">{prose(2)}</article><article class="comment">{prose(1)}</article></section>'
+    assert main_text(f"<article>{prose(3)}</article>{comments}") == text
+    assert main_text(f'<nav><article>{prose(1)}</article></nav><article>{prose(3)}</article>') == text
+
+
+def test_attributes_and_inline_elements():
+    assert main_text("<article><p title=it's>One, two.<p data-x='>' class=\"a>b\">Three.<p title=a\"b>Four.") == "One, two.\nThree.\nFour."
+    assert main_text('<article><p>Before <span class="ad">buy <span>this</span> now</span>after <span style="display: none">not <i>this</i></span>it.<p>Then <b hidden>no</b>more.') == "Before after it.\nThen more."
+    assert main_text('<article><p>An <span class="address">old</span> street, <span hidden>unclosed<p>Next one.') == "An old street,\nNext one."
+    assert main_text('<article><p title="class=ad hidden">Kept as it is.') == "Kept as it is."
+
+
+def test_the_cut_decides():
+    """Lines too short to tell, and text that alone would be taken for content, are labelled by what is around them."""
+    page = f'<div><div><h1>A title</h1>{prose(2)}<p>So.</p>{prose(2)}</div><div class="sidebar">{prose(1)}</div></div>'
+    blocks, odds, content = labels_of(page)
+    flipped = {b[0][:9]: keep for b, x, keep in zip(blocks, odds, content) if keep != (x > 0)}
+    assert flipped == {"So.": True, "Paragraph": False} or flipped == {"So.": True, "Paragraph": False, "A title": True}
+    assert main_text(page).split("\n")[3] == "So." and main_text(page).count("Paragraph") == 4
+
+
+def test_deep_and_broken_pages():
+    deep = 40_000
+    assert main_text("<article>" + "<div>" * deep + "<p>One line of text.</p>" + "</div>" * deep + "<p>And more text.</p></article>") == "One line of text.\nAnd more text."
+    assert main_text("<article><x>" * 3000 + "<p>One line of text.</p>" + "</section>" * 30_000).startswith("One line")
+    assert main_text("<article><ul>" + "<li>an item of many" * 3000).count("\n") == 2999
+
+
+def test_query_against_loops(spark):
+    """Every page of the table against what stands between its article tags, taken apart by plain patterns."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: (r.text, r.n_chars) for r in extract(pages).collect()}
+    rows = pages.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        kept = [b[0] for b, keep in zip(*labels_of(r.html)[::2]) if keep]
+        assert got[r.page_id] == ("\n".join(kept), len("\n".join(kept)))
+        article = re.search(r"<article>(.*)</article>", r.html or "", re.S)
+        if article:
+            plain = re.sub(r"<(script|style)[^>]*>.*?</\1>|<!--.*?-->", "", article[1], flags=re.S)
+            plain = re.split(r"</?(?:p|h\d|ul|li|div|section|blockquote|table|tr|td)[^>]*>", plain)
+            plain = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", re.sub(r"<br[^>]*>", " ", x))).split()) for x in plain]
+            assert kept == [x for x in plain if x]

@@ -1,34 +1,40 @@
 """Main text of web pages by minimum cut.
 
-A page is cut into blocks: runs of text between block-level tags, in page order. A linear
-classifier gives each block a cost for being called content and one for being called
-boilerplate, from its ancestors' tags, classes and ids, its length and its share of link text;
-these are the capacities of its edges from the source and to the sink. Names such as "sidebar"
-cost a container's blocks a finite amount, which much text with few links in it, also in proportion
-to the rest of the page, outweighs; they don't count on articles and headings. Edges between
-neighbouring blocks, and between blocks next to each other in one container, cost what a
-label change there costs, less the farther apart the blocks are in the tree. A maximum flow
-finds the labelling of least cost; blocks on the source's side are content.
-
-Text in head, script, style, comments and the like is no block. Character references are
-decoded, white space inside a block becomes one space, blocks are trimmed and joined by a
-newline. A null, empty or contentless page has an empty text. Repeated rows stay; an empty
-table gives no rows; columns other than page_id, url and html are left out.
+A page is cut into blocks: runs of text between block-level tags, in page order. What is labelled,
+content or boilerplate, are the blocks and the elements around them that say anything by tag, class, id,
+role or label. A linear classifier gives each block a cost for either label from its own text
+alone: words, share of link text, its own tag. An element's costs come from its tag and names, for
+each block in it; what a name such as "sidebar" costs is finite, and much text with few links in it, also in
+proportion to the rest of the page, outweighs it; names never speak against headings, nor against
+articles but those named as a comment. These costs are the capacities of edges from the source and to the sink.
+
+Smoothness edges hold what is near together: a block and the nearest such element around it, less the deeper
+the block lies in it; an element and the next around it, for each block; blocks that follow each other, less the
+farther apart they are in the tree; and blocks next to each other in one container. So a line
+too short to tell is content in an article or between paragraphs, and long text in a sidebar is not. A
+maximum flow finds the labelling of least cost; blocks on the source's side are content.
+
+Text in head, script, style, comments and the like is no block, nor is what inline elements that are hidden or named
+as adverts hold. Character references are decoded, white space inside a block becomes one space, blocks
+are trimmed and joined by a newline. A null, empty or contentless page has an empty text. Repeated rows
+stay; an empty table gives no rows; columns other than page_id, url and html are left out.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-_NAMED = re.compile(r"(class|id|role|itemprop|aria-label|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?(?=[\s/>\"']|$)", re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|$)|=\s*'[^']*(?:'|$)|[^>])*+)(?:>|$)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*)))?")
+_TELLING = frozenset("class id role itemprop aria-label hidden aria-hidden style".split())
 _WORDS = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 
@@ -36,7 +42,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style template noscript textarea title iframe noembed noframes xmp svg math object canvas audio video select datalist".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: What a tag says about the text in it: above 0, content.
-TAGS = {"article": 3.0, "main": 2.5, "p": 0.8, "blockquote": 0.4, "pre": 0.8, "h1": 0.6, "h2": 0.4, "h3": 0.4, "h4": 0.2, "figcaption": 0.2, "td": 0.1, "nav": -9.0, "menu": -7.0, "header": -6.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "button": -9.0, "dialog": -9.0, "fieldset": -9.0, "label": -2.0, "address": -1.0}
+TAGS = {"article": 3.0, "main": 2.5, "nav": -9.0, "menu": -7.0, "header": -6.0, "footer": -9.0, "aside": -9.0, "button": -9.0, "dialog": -9.0, "fieldset": -9.0, "label": -2.0, "address": -1.0}
+#: What its own tag adds to a block's text.
+OWN = {"p": 0.5, "blockquote": 0.3, "pre": 0.5, "h1": 0.4, "h2": 0.3, "h3": 0.3, "h4": 0.2, "figcaption": 0.2}
 #: And a word of a class, id or role: what names boilerplate on most pages, and what also names a subject.
 SURE, LOOSE, ANCHOR = -12.0, -6.0, -4.0
 NAMES = {
@@ -51,24 +59,34 @@ _SUBJECT = frozenset("category cat tag topic term keyword".split())
 #: A header or the like inside an article may hold its headline.
 _SOFT_IN_ARTICLE = frozenset(["header"])
 #: Words that make a name tell of a layout, such as "has-sidebar", rather than of what is in it.
-_LAYOUT = frozenset("has no with without layout wrap wrapper columns".split())
-BIAS, SMOOTH_NEXT, SMOOTH_NEAR = -0.2, 0.7, 0.5
+_LAYOUT = frozenset("has no with without layout wrap wrapper columns open closed".split())
+#: What names an article as a reader's, and an inline element as no text of the page.
+_READERS = frozenset("comment comments reply replies respond".split())
+_ADVERTS = frozenset("ad ads advert adverts advertisement advertising adsbygoogle sponsored sponsor promo".split())
+BIAS, MOST, SMOOTH_NEXT, SMOOTH_NEAR = -0.2, 2.4, 0.7, 0.5
+#: How many units of a tag's or name's score are one of a block's cost.
+UNIT = 2.4
+#: Smoothness of a block and its element; of an element and the next around it, for each block: firm, loose, across kinds.
+HOLD, FIRM, LOOSELY, ACROSS = 3.0, 6.0, 1.0, 0.3
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "depth", "prior", "article", "last", "name", "named")
+    """An element. up is the nearest one around it that says anything, itself included; firm, that a tag or being hidden settles it."""
 
-    def __init__(self, tag, parent, prior, name=0.0):
-        self.tag, self.parent, self.last = tag, parent, None
+    __slots__ = ("tag", "parent", "depth", "own", "name", "article", "firm", "up", "open_p", "items")
+
+    def __init__(self, tag, parent, own=0.0, name=0.0):
+        self.tag, self.parent, self.own, self.name = tag, parent, own, name
         self.depth = parent.depth + 1 if parent else 0
         self.article = (parent.article if parent else False) or tag in ("article", "main")
-        # Boilerplate inside an article stays boilerplate; an article inside boilerplate too.
-        above = parent.prior if parent else 0.0
-        self.prior = above + prior if min(above, prior) > -5 else min(above, prior)
-        # The worst name above, and the outermost node that has it.
-        self.name, self.named = (parent.name, parent.named) if parent else (0.0, None)
-        if name < self.name:
-            self.name, self.named = name, self
+        self.firm = own <= -5 or (parent.firm if parent else False)
+        self.up = self if own or name else parent.up if parent else None
+        # Open paragraphs and items that a tag in this element can end.
+        inside = parent is not None and tag not in _SCOPES
+        self.open_p = self if tag == "p" else parent.open_p if inside else None
+        self.items = parent.items if inside else {}
+        if tag in _ENDS_OWN:
+            self.items = {**self.items, tag: self}
 
 
 def _told(name: str, words: list[str]) -> list[float]:
@@ -85,33 +103,50 @@ def _told(name: str, words: list[str]) -> list[float]:
     return told
 
 
-def _prior(tag: str, attributes: str, parent) -> tuple[float, float]:
-    """What a node's tag and mild names say, and the cost of its worst name."""
-    score, name_cost = TAGS.get(tag, 0.0), 0.0
-    if tag in _SOFT_IN_ARTICLE and parent is not None and parent.article:
-        score = -0.5
-    if attributes and tag not in ("html", "body"):
+def _attributes(raw: str) -> list[tuple[str, str]]:
+    return [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw) if m[1].lower() in _TELLING]
+
+
+def _hidden(name: str, value: str) -> bool:
+    return name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower()
+
+
+def _no_text(raw: str) -> bool:
+    """Whether an inline element is hidden, or an advert by name."""
+    for name, value in _attributes(raw):
+        if _hidden(name, value) or name in ("class", "id") and any(_ADVERTS.intersection(_WORDS.findall(_CAMEL.sub(r"\1 \2", t).lower())[:1]) for t in value.split()):
+            return True
+    return False
+
+
+def _says(tag: str, raw: str, parent) -> tuple[float, float]:
+    """What an element's tag and mild names say, and the cost of its worst name."""
+    own, cost = TAGS.get(tag, 0.0), 0.0
+    if tag == "form":  # which may be wrapped around a whole page
+        cost = LOOSE
+    if tag in _SOFT_IN_ARTICLE and parent.article:
+        own = -0.5
+    if raw and tag not in ("html", "body"):
         worst = best = 0.0
-        hidden = False
-        for m in _NAMED.finditer(attributes):
-            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-                hidden = True
-            elif name not in ("style", "aria-hidden"):
-                for token in value.split():
-                    words = _WORDS.findall(_CAMEL.sub(r"\1 \2", token).lower())
-                    if not _LAYOUT.intersection(words):
-                        told = _told(name, words)
-                        worst, best = min([worst, *told]), max([best, *told])
+        for name, value in _attributes(raw):
+            if _hidden(name, value):
+                return -9.0, 0.0
+            if name in ("style", "aria-hidden"):
+                continue
+            for token in value.split():
+                words = _WORDS.findall(_CAMEL.sub(r"\1 \2", token).lower())
+                if not _LAYOUT.intersection(words):
+                    told = _told(name, words)
+                    worst, best = min([worst, *told]), max([best, *told])
+                    if tag == "article" and name == "class" and _READERS.intersection(words[:1]):
+                        cost = SURE
         if tag in _NEVER:
-            score += best
+            own += best
         elif worst <= ANCHOR:
-            name_cost = worst
+            cost = min(cost, worst)
         else:  # A container named for its content, such as "post-content", is not undone by a mild word beside it.
-            score += worst + best
-        if hidden:
-            score = -9.0
-    return score, name_cost
+            own += worst + best
+    return own, cost
 
 
 #: Tags that end an open paragraph; items end open items alike.
@@ -128,6 +163,8 @@ def blocks_of(page: str) -> list[tuple[str, float, int, int, _Node]]:
     linked = 0
     in_link = 0
     at = 0
+    skipped, nested = "", 0  # an inline element without text, and how many of its name are open
+    opened: Counter = Counter()
 
     def close():
         nonlocal linked
@@ -142,7 +179,7 @@ def blocks_of(page: str) -> list[tuple[str, float, int, int, _Node]]:
     while at < end:
         m = _TOKEN.search(page, at)
         stop = m.start() if m else end
-        if stop > at:
+        if stop > at and not skipped:
             piece = page[at:stop]
             parts.append(piece)
             if in_link:
@@ -154,7 +191,17 @@ def blocks_of(page: str) -> list[tuple[str, float, int, int, _Node]]:
         if tag is None:
             continue
         tag = tag.lower()
+        if skipped:
+            if tag in INLINE:
+                nested += (1 if not m[1] else -1) * (tag == skipped)
+                if not nested:
+                    skipped = ""
+                continue
+            skipped = ""
         if not m[1]:
+            if tag in INLINE and tag not in VOID and m[3] and not m[3].endswith("/") and _no_text(m[3]):
+                skipped, nested = tag, 1
+                continue
             if tag in RAW:
                 shut = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
                 if tag not in ("svg", "math") or shut:
@@ -171,66 +218,70 @@ def blocks_of(page: str) -> list[tuple[str, float, int, int, _Node]]:
             close()
             if tag in VOID:
                 continue
-            if tag in _ENDS_P:
-                up = node
-                while up is not None and up.tag not in _SCOPES and up.tag != "p":
-                    up = up.parent
-                if up is not None and up.tag == "p":
-                    node = up.parent
-            elif tag in _ENDS_OWN:
-                ends, up = _ENDS_OWN[tag].split(), node
-                while up is not None and up.tag not in ends and up.tag not in _SCOPES:
-                    up = up.parent
-                if up is not None and up.tag in ends:
-                    node = up.parent
-            in_link = 0
-            if node.depth < 400:
-                node = _Node(tag, node, *_prior(tag, m[3], node))
-            if m[3] and m[3].endswith("/") and tag in ("path", "use"):
+            ended = node.open_p if tag in _ENDS_P else None
+            for other in _ENDS_OWN.get(tag, "").split():
+                item = node.items.get(other)
+                if item is not None and (ended is None or item.depth > ended.depth):
+                    ended = item
+            while ended is not None and node is not ended.parent:
+                opened[node.tag] -= 1
                 node = node.parent
+            in_link = 0
+            node = _Node(tag, node, *_says(tag, m[3], node))
+            opened[tag] += 1
         elif tag in INLINE:
             if tag == "a" and in_link:
                 in_link -= 1
         else:
             close()
             in_link = 0
-            up = node
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+            if opened[tag] > 0:
+                while node.tag != tag:
+                    opened[node.tag] -= 1
+                    node = node.parent
+                opened[tag] -= 1
+                node = node.parent
     close()
     return out
 
 
-def names_of(blocks) -> dict:
-    """What their name costs the blocks of each named node, less what the text in it speaks for it."""
-    own: dict = {}
+def elements_of(blocks) -> dict[_Node, tuple[int, float]]:
+    """The elements that say anything around the blocks, innermost first: how many blocks each has, and what it says for one."""
+    held: dict[_Node, list[float]] = {}
     total = 0.0
     for _, share, _, words, node in blocks:
         plain = words * (1 - share)
-        if node.prior > -5:
-            total += plain
-        if node.named is not None:
-            held = own.setdefault(node.named, [0.0, 0, 0.0])
-            held[0] += plain
-            held[1] += words
-            held[2] += plain * (node.prior > -5)
-    out = {None: 0.0}
-    for node, (plain, words, counted) in own.items():
-        mostly = max(0.0, 2 * plain / words - 1)
-        speaks = math.log2(1 + counted / 60) + max(0.0, math.log2((counted + 1e-9) / (total - counted + 20)))
-        out[node] = min(0.0, node.name + mostly * speaks)
+        total += plain * (not node.firm)
+        if node.up is not None:
+            own = held.setdefault(node.up, [0, 0.0, 0, 0.0])
+            own[0] += 1
+            own[1] += plain
+            own[2] += words
+            own[3] += plain * (not node.firm)
+    out, waiting = {}, [(-e.depth, i, e) for i, e in enumerate(held)]
+    heapq.heapify(waiting)
+    while waiting:
+        e = heapq.heappop(waiting)[2]
+        n, plain, words, counted = held[e]
+        cost = 0.0
+        if e.name:
+            mostly = max(0.0, 2 * plain / words - 1)
+            speaks = math.log2(1 + counted / 60) + max(0.0, math.log2((counted + 1e-9) / (total - counted + 20)))
+            cost = min(0.0, e.name + mostly * speaks)
+        out[e] = n, (max(-9.0, min(4.0, e.own)) + cost) / UNIT
+        around = e.parent.up if e.parent else None
+        if around is not None:
+            if around not in held:
+                held[around] = [0, 0.0, 0, 0.0]
+                heapq.heappush(waiting, (-around.depth, len(held), around))
+            held[around] = [x + y for x, y in zip(held[around], held[e])]
     return out
 
 
-def logit(share: float, chars: int, words: int, node: _Node, name: float = 0.0) -> float:
-    """How much likelier a block is content than boilerplate, as a logarithm of odds; name is what its name costs."""
-    strong = node.prior <= -5
-    score = BIAS + max(-9.0, min(4.0, node.prior)) + min(1.2, 0.25 * math.log1p(words)) - 2.5 * share * (share > 0.3) + name
-    if words < 4 and not node.article:
-        score -= 0.6
-    return min(score, -4.0) if strong else score
+def logit(share: float, chars: int, words: int, node: _Node) -> float:
+    """How much likelier a block is content than boilerplate by its own text, as a logarithm of odds."""
+    score = BIAS + min(1.6, 0.35 * math.log1p(words)) + OWN.get(node.tag, 0.0) - 2.5 * share * (share > 0.3) - 0.6 * (words < 4)
+    return max(-MOST, min(MOST, score))
 
 
 def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -307,21 +358,41 @@ def _apart(a: _Node, b: _Node) -> int:
     return steps
 
 
-def main_text(page: str | None) -> str:
+def labels_of(page: str | None) -> tuple[list, list[float], list[bool]]:
+    """A page's blocks, the classifier's odds of each, and whether the cut calls it content."""
     blocks = blocks_of(page or "")
-    if not blocks:
-        return ""
-    names = names_of(blocks)
-    odds = [logit(*b[1:], names[b[4].named]) for b in blocks]
+    odds = [logit(*b[1:]) for b in blocks]
+    elements = elements_of(blocks)
+    at = {e: len(blocks) + i for i, e in enumerate(elements)}
+    weights = odds + [n * says for n, says in elements.values()]
     edges, last = [], {}
     for i, b in enumerate(blocks):
+        node = b[4]
+        if node.up is not None:
+            edges.append((i, at[node.up], FIRM if node.firm else HOLD / (1 + 0.1 * math.log2(1 + node.depth - node.up.depth))))
         if i:
-            edges.append((i - 1, i, SMOOTH_NEXT / (1 + _apart(blocks[i - 1][4], b[4]))))
-        box = b[4].parent or b[4]
+            edges.append((i - 1, i, SMOOTH_NEXT / (1 + _apart(blocks[i - 1][4], node))))
+        box = node.parent or node
         if box in last and last[box] != i - 1:
             edges.append((last[box], i, SMOOTH_NEAR))
         last[box] = i
-    content = minimum_cut([max(0.0, x) for x in odds], [max(0.0, -x) for x in odds], edges)
+    for e, (n, says) in elements.items():
+        around = e.parent.up if e.parent else None
+        if around is not None:
+            against = elements[around][1]
+            if against <= -0.8:  # an article may stand in a container by its name alone
+                hold = LOOSELY if e.tag in ("article", "main") and not e.name and not around.firm else FIRM
+            elif (says < 0) == (against < 0) or around.article and SURE < e.name < 0:
+                hold = LOOSELY
+            else:
+                hold = ACROSS
+            edges.append((at[e], at[around], hold * n))
+    content = minimum_cut([max(0.0, x) for x in weights], [max(0.0, -x) for x in weights], edges)
+    return blocks, odds, content[: len(blocks)]
+
+
+def main_text(page: str | None) -> str:
+    blocks, _, content = labels_of(page)
     return "\n".join(b[0] for b, keep in zip(blocks, content) if keep)
 
 
