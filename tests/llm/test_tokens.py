@@ -128,7 +128,7 @@ def test_packing_is_as_good_as_best_fit_decreasing(spark, seed, room, n, per_ran
     fill, order = {}, set()
     for r in rows:
         fill[r.seq] = fill.get(r.seq, 0) + r.length
-        order.add((r.seq, r.turn, r.slot))
+        order.add((r.seq, r.slot))
     assert len(order) == n and max(fill.values()) <= room
     assert len(fill) <= best_fit_decreasing(lengths, room) + 1
 

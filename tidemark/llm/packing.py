@@ -14,7 +14,8 @@ length, each within a factor of SPAN. A round of a class
 4. takes the placed pieces off their gaps, and writes gaps, pieces left and placements as tables.
 
 What surely fits no gap opens sequences: as many as its ids need beyond the gaps' room. Rounds repeat
-until the class is placed. The driver holds counts alone; a task holds one range.
+until the class is placed; once its pieces and gaps are one range, one task goes through the rounds
+that are left. The driver holds counts alone; a task holds one range.
 
 Null texts are empty documents (the end id alone); repeated rows are packed each by itself;
 an empty table gives no rows; other columns, of any name, are left out.
@@ -74,21 +75,67 @@ def match(slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[pairs], order[pairs + 1]
 
 
-def _sweep(batches):
-    """One range: its pairs, and what has no partner, numbered in order (kind, part, place, pid, length, seq, slot)."""
-    part = TaskContext.get().partitionId()
+def _columns(batches):
     table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-    if table is None or not table.num_rows:
-        return
-    size, kind, item, nth = (table.column(i).to_numpy() for i in (0, 1, 3, 4))
-    slot = kind == 1
-    a, b = match(slot)
-    alone = np.ones(len(size), bool)
-    alone[a] = alone[b] = False
-    for rows, code in ((np.flatnonzero(alone & ~slot), PIECE), (np.flatnonzero(alone & slot), SLOT)):
-        n, none = len(rows), np.zeros(len(rows), np.int64)
-        yield _rows(np.full(n, code), np.full(n, part), np.arange(n), *((item[rows], size[rows], none, none) if code == PIECE else (none, none, item[rows], nth[rows])))
-    yield _rows(np.full(len(a), PAIR), np.full(len(a), part), np.arange(len(a)), item[a], size[a], item[b], nth[b])
+    return None if table is None or not table.num_rows else [c.to_numpy() for c in table.columns]
+
+
+def _sweep(turn: int):
+    """One range of sorted items: its pairs, and what has no partner, numbered in order."""
+
+    def run(batches):
+        part, got = TaskContext.get().partitionId(), _columns(batches)
+        if got is None:
+            return
+        size, kind, _, item, nth = got
+        slot = kind == 1
+        a, b = match(slot)
+        alone = np.ones(len(size), bool)
+        alone[a] = alone[b] = False
+        for rows, code in ((np.flatnonzero(alone & ~slot), PIECE), (np.flatnonzero(alone & slot), SLOT)):
+            n, none = len(rows), np.zeros(len(rows), np.int64)
+            yield _rows(np.full(n, code), np.full(n, part), np.arange(n), *((item[rows], size[rows], none, none) if code == PIECE else (none, none, item[rows], nth[rows])))
+        yield _rows(np.full(len(a), PAIR), np.full(len(a), part), np.arange(len(a)), item[a], size[a], item[b], nth[b] + (turn << 40))
+
+    return run
+
+
+def openings(ids: int, free: int, fits: int | None, room: int) -> int:
+    """Sequences to open for so many ids left: what the gaps' room falls short by, or all if no piece has found a gap."""
+    return max(0, -(-(ids - (free if fits != 0 else 0)) // room))
+
+
+def _finish(turn: int, room: int, opened: int):
+    """The rounds that are left of a class of one range: all of its pairs."""
+
+    def run(batches):
+        got = _columns(batches)
+        if got is None:
+            return
+        size, kind, _, item, _ = got
+        order = np.argsort(size[kind == 0], kind="stable")
+        left, pid = size[kind == 0][order], item[kind == 0][order]
+        gaps, seq = size[kind == 1].copy(), item[kind == 1]
+        fits, step, taken = None, 0, opened
+        while len(left):
+            low, high = left[0], left[-1]
+            new = openings(int(left.sum()), int(gaps[gaps >= low].sum()), fits, room)
+            gaps, seq, taken = np.append(gaps, np.full(new, room)), np.append(seq, -1 - taken - np.arange(new)), taken + new
+            free = np.flatnonzero(gaps >= low)
+            each = np.minimum(np.maximum(1, gaps[free] // high), -(-2 * len(left) // max(1, int((gaps >= high).sum()))))
+            of = np.repeat(free, each)
+            nth = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
+            sizes, slot = np.concatenate([left, np.minimum(gaps[of], high)]), np.arange(len(left) + len(of)) >= len(left)
+            order = np.lexsort((np.concatenate([np.zeros(len(left), np.int64), gaps[of]]), slot, sizes))
+            a, b = match(slot[order])
+            a, b = order[a], order[b] - len(left)
+            yield _rows(np.full(len(a), PAIR), np.zeros(len(a), int), np.arange(len(a)), pid[a], left[a], seq[of[b]], nth[b] + (step << 24) + (turn << 40))
+            np.subtract.at(gaps, of[b], left[a])
+            keep = np.ones(len(left), bool)
+            keep[a] = False
+            left, pid, fits, step = left[keep], pid[keep], len(a), step + 1
+
+    return run
 
 
 _SWEPT = "kind int, part int, place long, pid long, length long, seq long, slot long"
@@ -98,7 +145,7 @@ def _rows(kind, part, place, *rest) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(part, pa.int32()), *(pa.array(x, pa.int64()) for x in (place, *rest))], [c.split()[0] for c in _SWEPT.split(", ")])
 
 
-def _across(swept: DataFrame) -> DataFrame:
+def _across(swept: DataFrame, turn: int) -> DataFrame:
     """Swept rows with the pairs that lie in different ranges found too."""
     alone = {r["part"]: (r["u"], r["v"]) for r in swept.groupBy("part").agg(F.count_if(F.col("kind") == SLOT).alias("u"), F.count_if(F.col("kind") == PIECE).alias("v")).collect()}  # two counts a range
     before, starts = 0, []
@@ -116,65 +163,67 @@ def _across(swept: DataFrame) -> DataFrame:
     rest = rest.where((F.col("kind") == PIECE) | F.col("last.kind").isNull() | (F.col("last.kind") != PIECE))
     paired = (F.col("kind") == PIECE) & F.coalesce(met, F.lit(False))
     either = lambda c: F.when(paired, F.col(f"next.{c}")).otherwise(F.col(c)).alias(c)
-    rest = rest.select(F.when(paired, PAIR).otherwise(F.col("kind")).cast("int").alias("kind"), "part", "place", "pid", "length", either("seq"), either("slot"))
+    rest = rest.select(F.when(paired, PAIR).otherwise(F.col("kind")).cast("int").alias("kind"), "part", "place", "pid", "length", either("seq"), F.when(paired, F.col("next.slot") + F.lit(turn << 40)).otherwise(F.col("slot")).alias("slot"))
     return swept.where(F.col("kind") == PAIR).unionByName(rest)
 
 
 def place(pieces: DataFrame, room: int, per_range: int = RANGE) -> tuple[DataFrame, list[str]]:
-    """pid, length, seq of every piece (pid, length), with turn and slot, its order in the sequence; and the scratch paths read."""
+    """pid, length, seq of every piece (pid, length), with slot, its order in the sequence; and the scratch paths read."""
     spark = pieces.sparkSession
     half, edges = room // 2, []
-    while (edges[-1] if edges else half) > 0:
-        hi = edges[-1] if edges else half
-        edges.append(hi // SPAN if hi > SPAN else 0)
-    own = pieces.where(F.col("length") > half).select("pid", "length", F.col("pid").alias("seq"), F.lit(0).alias("turn"), F.lit(0).cast("long").alias("slot"))
-    placed, kept, opened, turn = [own], [], 0, 0
+    while half and (not edges or edges[-1]):
+        edges.append((edges[-1] if edges else half) // SPAN if (edges[-1] if edges else half) > SPAN else 0)
+    own = pieces.where(F.col("length") > half).select("pid", "length", F.col("pid").alias("seq"), F.lit(0).cast("long").alias("slot"))
+    kept, opened, turn = [], 0, 0
     sizes = F.least(F.lit(len(edges)), F.lit(len(edges)), *[F.when(F.col("length") > lo, i) for i, lo in enumerate(edges)])
-    of_class = {r["c"]: r for r in pieces.where(F.col("length") <= half).groupBy(sizes.alias("c")).agg(F.count("*").alias("n"), F.sum("length").alias("ids"), F.max("length").alias("hi")).collect()}  # a row a class
+    told = [F.count("*").alias("n"), F.sum("length").alias("ids"), F.min("length").alias("low"), F.max("length").alias("high")]
+    of_class = {r["c"]: r for r in pieces.where(F.col("length") <= half).groupBy(sizes.alias("c")).agg(*told).collect()}  # a row a class
     gaps, p_gaps = cut(own.where(F.col("length") < room).select("seq", (F.lit(room) - F.col("length")).alias("room")), "packing-gaps")
-    for c, low in enumerate(edges):
-        if c not in of_class:
-            continue
-        n, ids, hi = of_class[c]["n"], of_class[c]["ids"], of_class[c]["hi"]
-        high = half if not c else edges[c - 1]
-        left, p_left = pieces.where((F.col("length") > low) & (F.col("length") <= high)).select("pid", "length"), None
-        fits = None
-        while n:
-            free = gaps.where(F.col("room") > low).agg(F.count("*").alias("n"), F.coalesce(F.sum("room"), F.lit(0)).alias("ids")).first()
-            new = -(-(ids - (free["ids"] if fits != 0 else 0)) // room)
-            if new > 0:
+    for c in sorted(of_class):
+        now, fits, most = of_class[c], None, half if not c else edges[c - 1]
+        left = pieces.where((F.col("length") > edges[c]) & (F.col("length") <= most)).select("pid", "length")
+        while now["n"]:
+            turn += 1
+            n, low, high = now["n"], now["low"], now["high"]
+            free = gaps.where(F.col("room") >= low).agg(F.count("*").alias("n"), F.coalesce(F.sum("room"), F.lit(0)).alias("ids"), F.count_if(F.col("room") >= high).alias("big")).first()
+            pieces_ = left.select(F.col("length").alias("size"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("room"), F.col("pid").alias("item"), F.lit(0).cast("long").alias("nth"))
+            last = n + free["n"] <= per_range // 4
+            if last:
+                items = pieces_.union(gaps.where(F.col("room") >= low).select("room", F.lit(1), "room", "seq", F.lit(0).cast("long")))
+                swept, p_swept = cut(items.repartition(1).sortWithinPartitions("kind", "size", "item").mapInArrow(_finish(turn, room, opened), _SWEPT), "packing-swept")
+            else:
+                new = openings(now["ids"], free["ids"], fits, room)
                 gaps = gaps.union(spark.range(opened, opened + new).select((-1 - F.col("id")).alias("seq"), F.lit(room).cast("long").alias("room")))
                 opened += new
-            n_gaps = free["n"] + max(0, new)
-            each = F.least(F.greatest(F.lit(1), F.floor(F.col("room") / hi)), F.lit(-(-2 * n // n_gaps))).cast("long")
-            slots = gaps.where(F.col("room") > low).select("seq", "room", F.explode(F.sequence(F.lit(0).cast("long"), each - 1)).alias("slot"))
-            items = left.select(F.col("length").alias("size"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("room"), F.col("pid").alias("item"), F.lit(0).cast("long").alias("nth"))
-            items = items.union(slots.select(F.least("room", F.lit(hi).cast("long")).alias("size"), F.lit(1), "room", "seq", "slot"))
-            parts = max(1, -(-(3 * n + n_gaps) // per_range))
-            by = ["size", "kind", "room", F.xxhash64("item"), "item", "nth"]
-            items = items.repartitionByRange(parts, *by) if parts > 1 else items.repartition(1)
-            swept, p_swept = cut(items.sortWithinPartitions(*by).mapInArrow(_sweep, _SWEPT), "packing-swept")
-            if parts > 1:
-                swept, p_new = cut(_across(swept), "packing-met")
-                forget(spark, p_swept)
-                p_swept = p_new
-            turn += 1
-            pairs = swept.where(F.col("kind") == PAIR).select("pid", "length", "seq", F.lit(turn).alias("turn"), "slot")
-            placed.append(pairs)
+                each = F.least(F.greatest(F.lit(1), F.floor(F.col("room") / high)), F.lit(-(-2 * n // max(1, free["big"] + new)))).cast("long")
+                slots = gaps.where(F.col("room") >= low).select("seq", "room", F.explode(F.sequence(F.lit(0).cast("long"), each - 1)).alias("slot"))
+                items = pieces_.union(slots.select(F.least("room", F.lit(high).cast("long")).alias("size"), F.lit(1), "room", "seq", "slot"))
+                by = ["size", "kind", "room", F.xxhash64("item"), "item", "nth"]
+                ranges = max(2, -(-(3 * n + free["n"]) // per_range))
+                swept, p_new = cut(items.repartitionByRange(ranges, *by).sortWithinPartitions(*by).mapInArrow(_sweep(turn), _SWEPT), "packing-swept")
+                swept, p_swept = cut(_across(swept, turn), "packing-met")
+                forget(spark, p_new)
             kept.append(p_swept)
+            pairs = swept.where(F.col("kind") == PAIR)
+            if last:
+                # Sequences that the task opened, numbered on from the others.
+                least = pairs.agg(F.min("seq")).first()[0]
+                if least < -opened:
+                    gaps = gaps.union(spark.range(opened, -least).select((-1 - F.col("id")).alias("seq"), F.lit(room).cast("long").alias("room")))
+                    opened = -least
             changed = gaps.union(pairs.select("seq", -F.col("length"))).groupBy("seq").agg(F.sum("room").alias("room")).where("room > 0")
             gaps, p_new = cut(changed, "packing-gaps")
             forget(spark, p_gaps)
             p_gaps = p_new
+            if last:
+                break
             left = swept.where(F.col("kind") == PIECE).select("pid", "length")
-            got = left.agg(F.count("*").alias("n"), F.sum("length").alias("ids"), F.max("length").alias("hi")).first()
-            fits = n - got["n"]
-            n, ids, hi = got["n"], got["ids"], got["hi"]
+            now = left.agg(*told).first()
+            fits = n - now["n"]
     forget(spark, p_gaps)
-    out = placed[0]
-    for more in placed[1:]:
-        out = out.union(more)
-    return out, kept
+    if not kept:
+        return own, []
+    return own.union(spark.read.schema(swept.schema).parquet(*kept).where(F.col("kind") == PAIR).select("pid", "length", "seq", "slot")), kept
 
 
 def pack(docs: DataFrame, tokenizer: str, room: int = 2048, end_id: int = 0, per_range: int = RANGE) -> DataFrame:
@@ -182,7 +231,7 @@ def pack(docs: DataFrame, tokenizer: str, room: int = 2048, end_id: int = 0, per
     pieces, _ = cut(cut_pieces(docs, tokenizer, room, end_id), "packing-pieces")
     placed, paths = place(pieces.select("pid", "length"), room, per_range)
     # A sequence has at most `room` pieces.
-    before = F.sum("length").over(Window.partitionBy("seq").orderBy("turn", "slot").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("length").over(Window.partitionBy("seq").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
     where = placed.select("pid", F.col("seq").alias("sequence_id"), F.coalesce(before, F.lit(0)).alias("offset"))
     where, _ = cut(where, "packing-places")
     forget(docs.sparkSession, *paths)
