@@ -1,6 +1,7 @@
 """Piece ids and decoding against the sentencepiece library."""
 
 import hashlib
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +13,7 @@ from tidemark.llm.pieces import PieceBpe, piece_digest, piece_ids
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 LIBRARY = SentencePieceProcessor(model_file=PATH)
-OWN = PieceBpe(PATH, capacity=500)
+OWN = PieceBpe(PATH, capacity=20_000)
 
 
 @settings(max_examples=300, deadline=None)
@@ -42,3 +43,14 @@ def test_documents(odd_docs, no_docs):
     assert len(got) == len(ODD_TEXTS) and {tuple(r) for r in got} == want
     assert piece_digest(no_docs, PATH).count() == 0
     assert {r.decoded for r in piece_ids(odd_docs, PATH).collect() if r.doc_id == 6} == {"three short words"}
+
+
+def test_caches_are_bounded_by_bytes():
+    """Long texts without spaces, each a word of its own: what is held stays below the bound and one batch."""
+    own = PieceBpe(PATH, capacity=1 << 20)
+    for i in range(12):
+        texts = ["".join(chr(97 + (i * 7 + k * k + j) % 26) for k in range(20_000)) for j in range(4)]
+        batch = sum(map(len, own.encode(texts)))
+        size = sum(sys.getsizeof(k) + sys.getsizeof(v) for cache in (own.words, own.parts) for k, v in cache.items())
+        assert size <= own.held <= (1 << 20) + 4 * (4 * 2 * 20_000 + 2 * batch)
+    assert own.encode(["ab cd"])[0] == PieceBpe(PATH).encode(["ab cd"])[0]

@@ -9,7 +9,8 @@ become their UTF-8 bytes' tokens, and never merge.
 
 No token holds a character after which a space mark stands, so words are encoded apart, and a
 word's parts between characters that no token holds next to each other are too. Bounded caches
-keep the ids of words and parts; the result doesn't depend on them.
+keep the ids of words and parts; the result doesn't depend on them. Null texts are empty; repeated rows
+stay; an empty table gives no rows; other columns, of any name, are left out.
 """
 
 from __future__ import annotations
@@ -22,16 +23,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .shared import texts_of
-from .tokens import by_word
+from .tokens import by_word, entry_bytes
 
 MARK = "▁"
-_NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
+#: Pairs of tokens remembered at most; a pair is two strings of the vocabulary, so an entry has a bound.
+PAIRS = 400_000
 
 
 class PieceBpe:
-    """Encoder and decoder for a BPE model with byte fallback, identity normalizer and dummy prefix."""
+    """Encoder and decoder for a BPE model with byte fallback, identity normalizer and dummy prefix.
 
-    def __init__(self, path: str, capacity: int = 600_000):
+    capacity bounds the cached words and parts in bytes, beyond which they begin anew with the next batch.
+    """
+
+    def __init__(self, path: str, capacity: int = 128 << 20):
         import ahocorasick
         from sentencepiece import SentencePieceProcessor
 
@@ -61,7 +66,7 @@ class PieceBpe:
         for piece in self.id:
             self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
-        self.capacity = capacity
+        self.capacity, self.held = capacity, 0
         self.fits: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes | None] = {}
         self.parts: dict[str, bytes] = {}
@@ -89,7 +94,7 @@ class PieceBpe:
     def _fit(self, a: str, b: str) -> bool:
         got = self.fits.get((a, b))
         if got is None:
-            if len(self.fits) > 4 * self.capacity:
+            if len(self.fits) > PAIRS:
                 self.fits.clear()
             got = self.fits[a, b] = self.merge(a + b) == [a, b]
         return got
@@ -137,17 +142,20 @@ class PieceBpe:
                 got = self.parts.get(part)
                 if got is None:
                     got = self.parts[part] = self._part(part)
+                    self.held += entry_bytes(part, got)
                 out.append(got)
                 a = k
         return b"".join(out)
 
     def _marked(self, words: list[str]) -> list[bytes | None]:
-        for cache in (self.words, self.parts):
-            if len(cache) > self.capacity:
-                cache.clear()
+        if self.held > self.capacity:
+            self.words.clear()
+            self.parts.clear()
+            self.held = 0
         for w in words:
             if w not in self.words:
-                self.words[w] = self._word(MARK + w) if w and MARK not in w else None
+                got = self.words[w] = self._word(MARK + w) if w and MARK not in w else None
+                self.held += entry_bytes(w, got)
         return list(map(self.words.__getitem__, words))
 
     def _after_space(self, words: list[str], _array: pa.Array) -> tuple[pa.Array, np.ndarray]:
