@@ -1,10 +1,12 @@
 """Ids, token files and packing against the library and a plain loop."""
 
+import io
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,12 +14,12 @@ from tokenizers import Tokenizer
 
 from tidemark.llm.packing import match, pack, place
 from tidemark.llm.shared import cut
-from tidemark.llm.token_files import BLOCK, decode_blocks, encode_blocks, pack_file, read_token_files, token_file_digest, unpack_file, write_token_files
+from tidemark.llm.token_files import BLOCK, FileReader, FileWriter, decode_blocks, encode_blocks, read_token_files, token_file_digest, write_token_files
 from tidemark.llm.tokens import ByteBpe
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
-OWN = ByteBpe(PATH, capacity=500)
+OWN = ByteBpe(PATH, capacity=20_000)
 
 LETTERS = "abcdeThe  \n\t.,!'s12é日😀İ  <|>"
 
@@ -45,11 +47,25 @@ def test_blocks_round_trip(seed, n, most, share):
     assert decode_blocks(b"".join(blocks), index, n).tolist() == ids.tolist()
 
 
-def test_file_round_trip():
-    ids = [np.arange(n, dtype=np.uint16) for n in (0, 1, 127, 128, 129, 5000)]
-    docs, ends, got = unpack_file(b"".join(pack_file([None, 5, 6, 6, -7, 9], ids)))
-    assert docs == [None, 5, 6, 6, -7, 9] and np.diff(ends).tolist() == list(map(len, ids))
-    assert got.tolist() == np.concatenate(ids).tolist()
+@pytest.mark.parametrize("chunk", [128, 1000, 1 << 20])
+def test_file_round_trip(chunk):
+    ids = [np.arange(n, dtype=np.uint16) for n in (0, 1, 127, 128, 129, 5000, 0, 3)]
+    names, out = [None, 5, 6, 6, -7, 9, 10, 11], io.BytesIO()
+    file, most = FileWriter(out, chunk=chunk), 0
+    for name, x in zip(names, ids):
+        file.add(name, x)
+        most = max(most, file._held)
+    assert most < max(chunk, BLOCK)  # what waits between documents
+    file.close()
+    got = FileReader(pa.BufferReader(out.getvalue()))
+    assert got.docs == names and np.diff(got.starts).tolist() == list(map(len, ids))
+    for most in (1, 200, 1 << 20):
+        runs = list(got.runs(most))
+        assert [x for a, b in runs for x in range(a, b)] == list(range(8))
+        assert [got.ids(a, b).tolist() for a, b in runs] == [np.concatenate(ids[a:b]).tolist() for a, b in runs]
+    for broken in (b"", out.getvalue()[:-1], b"x" * 100):
+        with pytest.raises(ValueError):
+            FileReader(pa.BufferReader(broken))
 
 
 def expected(rows):
@@ -68,6 +84,8 @@ def test_token_files(spark, odd_docs, no_docs, tmp_path):
     for r in sorted(got, key=lambda r: r.start):
         assert r.start == at and (r.doc_id if r.doc_id is not None else -1) >= last
         at, last = at + r.n_tokens, r.doc_id if r.doc_id is not None else -1
+    several = write_token_files(odd_docs, PATH, folder=f"file://{tmp_path}/several", partitions=2, file_ids=30)
+    assert len(several) > 3 and {(r.start, r.doc_id, r.ids) for r in read_token_files(spark, several).collect()} == {(r.start, r.doc_id, r.ids) for r in got}
     digest = {(r.doc_id, r.n_tokens, r.ids_crc32) for r in token_file_digest(odd_docs, PATH).collect()}
     assert digest == {(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for (i, _), x in expected(ODD_TEXTS).items()}
     assert token_file_digest(no_docs, PATH).count() == 0

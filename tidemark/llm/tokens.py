@@ -11,6 +11,7 @@ string, are given to the library whole.
 from __future__ import annotations
 
 import os
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,11 @@ import regex
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def entry_bytes(word: str, ids: bytes | None) -> int:
+    """What a dictionary holds for one entry, about."""
+    return sys.getsizeof(word) + sys.getsizeof(ids) + 100
+
+
 def by_word(texts: list[str], ids_of, first_of) -> list[bytes | None]:
     """Each text's ids, put together from those of its space-separated words.
 
@@ -52,9 +58,9 @@ def by_word(texts: list[str], ids_of, first_of) -> list[bytes | None]:
 
 
 class ByteBpe:
-    """Encoder for one tokenizer file. capacity bounds the cached pre-tokens; results don't depend on it."""
+    """Encoder for one tokenizer file. capacity bounds the cache of pre-tokens in bytes, beyond which it begins anew; results don't depend on it."""
 
-    def __init__(self, path: str, capacity: int = 400_000):
+    def __init__(self, path: str, capacity: int = 96 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -65,7 +71,7 @@ class ByteBpe:
         for token, i in vocab.items():
             self.opens[i] = token.startswith("Ġ")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.capacity = capacity
+        self.capacity, self.held = capacity, 0
         self.tokens: dict[str, bytes] = {}
         self.split = regex.compile(PATTERN).findall
 
@@ -101,9 +107,12 @@ class ByteBpe:
         if len(opens) != len(plain):
             raise AssertionError("a word was split in an unknown way")
         tokens = coded.dictionary.to_pylist()
-        if len(self.tokens) > self.capacity:
+        if self.held > self.capacity:
             self.tokens.clear()
-        self._ids([t for t in tokens if t not in self.tokens])
+            self.held = 0
+        new = [t for t in tokens if t not in self.tokens]
+        self._ids(new)
+        self.held += sum(map(entry_bytes, new, map(self.tokens.__getitem__, new)))
         joined = pa.array(list(map(self.tokens.__getitem__, tokens)), pa.large_binary()).take(coded.indices)
         ends = np.frombuffer(joined.buffers()[1], np.int64)[: len(parts) + 1] if len(parts) else np.zeros(1, np.int64)
         sizes = np.zeros(len(words), np.int64)
