@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, cut, forget, fresh_worker, shuffle_partitions, texts_of, trim
+from .shared import components, cut, forget, fresh_worker, release, shuffle_partitions, texts_of, trim
 
 WORDS = 5
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -432,6 +432,7 @@ def jaccard_links(docs: DataFrame, frequent: int = 1 << 18, block: int = 2048, h
     spark = docs.sparkSession
     prepared, p_prepared = _prepare(docs, frequent)
     groups, p_groups = cut(_groups(prepared, held), "ngram-groups")
+    release(spark)
     members = groups.select("sid").distinct()
     wide = prepared.where("sig is not null").select("sid", "n", "sig").join(members, "sid", "left_semi").dropDuplicates(["sid"])
     wide, p_wide = cut(wide, "ngram-members")

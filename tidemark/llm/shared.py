@@ -17,9 +17,11 @@ _own_root: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and the executors run here."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         if not _own_root:
             _own_root.append(tempfile.mkdtemp(prefix="tidemark-"))
         root = f"file://{_own_root[0]}"
@@ -39,10 +41,16 @@ def cut(df: DataFrame, label: str) -> tuple[DataFrame, str]:
 
 
 def forget(spark: SparkSession, *paths: str) -> None:
-    """Delete scratch tables that no returned DataFrame reads."""
+    """Delete scratch tables that no returned DataFrame reads, and the shuffle files of the steps before."""
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the executors delete shuffle files that no plan needs: Spark does when the driver's collector has run, which it rarely does by itself."""
+    spark._jvm.System.gc()
 
 
 def fresh_worker() -> None:
