@@ -33,11 +33,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, cut, forget, fresh_worker, release, shuffle_partitions, texts_of, trim
+from .shared import components, cut, forget, fresh_worker, release, shuffle_partitions, slices, texts_of, trim
 
 WORDS = 5
 _C = np.uint64(0x9E3779B97F4A7C15)
-SLICE = 1 << 21
 #: Sets of a family, or rows of a group, that joins and trees take as one key; rows of a token held to see which groups are equal.
 PART, HELD = 256, 1 << 20
 
@@ -51,19 +50,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def slices(texts: list[str]):
-    """(first, texts) of runs of about SLICE characters."""
-    part, at, size = [], 0, 0
-    for i, t in enumerate(texts):
-        part.append(t)
-        size += len(t)
-        if size >= SLICE:
-            yield at, part
-            part, at, size = [], i + 1, 0
-    if part:
-        yield at, part
-
-
 def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     """Each text's distinct shingles, hashed and sorted."""
     if not texts:

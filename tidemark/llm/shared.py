@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Characters of text that a worker takes apart at once.
+SLICE = 1 << 21
 _own_root: list[str] = []
 
 
@@ -75,6 +77,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slices(texts: list[str]):
+    """(first, texts) of runs of about SLICE characters."""
+    part, at, size = [], 0, 0
+    for i, t in enumerate(texts):
+        part.append(t)
+        size += len(t)
+        if size >= SLICE:
+            yield at, part
+            part, at, size = [], i + 1, 0
+    if part:
+        yield at, part
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, a null text as the empty one; further columns, of whatever name, are left out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

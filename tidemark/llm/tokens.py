@@ -18,6 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from .shared import slices
+
 #: Fixed value: the pattern by which byte-level BPE splits a text before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -33,10 +35,12 @@ def by_word(texts: list[str], ids_of, first_of) -> list[bytes | None]:
     ids_of maps distinct words, as they stand after a space (a list and an array of them), to a
     binary array of their ids and a mask of words that have to be seen in their text; first_of maps words at a text's start
     to ids, or None for such a word. A text with one of those gives None. Splitting, numbering
-    and joining run in Arrow; Python sees distinct words alone.
+    and joining run in Arrow, some texts at a time; Python sees distinct words alone.
     """
-    if not texts:
-        return []
+    return [ids for _, part in slices(texts) for ids in _by_word(part, ids_of, first_of)]
+
+
+def _by_word(texts: list[str], ids_of, first_of) -> list[bytes | None]:
     lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
     starts, words = np.asarray(lists.offsets), lists.values.dictionary_encode()
     codes, distinct = words.indices, words.dictionary.to_pylist()
@@ -60,7 +64,7 @@ def by_word(texts: list[str], ids_of, first_of) -> list[bytes | None]:
 class ByteBpe:
     """Encoder for one tokenizer file. capacity bounds the cache of pre-tokens in bytes, beyond which it begins anew; results don't depend on it."""
 
-    def __init__(self, path: str, capacity: int = 96 << 20):
+    def __init__(self, path: str, capacity: int = 80 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
