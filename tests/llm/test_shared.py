@@ -2,9 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
-from tidemark.llm.shared import components
+from tidemark.llm import shared
+from tidemark.llm.shared import components, text_slices
 
 
 def smallest(edges):
@@ -35,3 +37,14 @@ def test_components(spark, shape, bound):
     }[shape]
     got = components(spark.createDataFrame(edges, "a long, b long"), "test", bound=bound)[0].collect()
     assert {r.node: r.component for r in got} == smallest(edges) and len(got) == len({r.node for r in got})
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_text_slices(monkeypatch, kind):
+    monkeypatch.setattr(shared, "SLICE", 10)
+    texts = [None, "", "abc", "日本語の長い文", "", "x" * 45, None, "de", "f" * 10, "g"]
+    parts = list(text_slices(pa.array(["before", *texts], kind).slice(1)))
+    assert [t for _, part in parts for t in part] == [t or "" for t in texts]
+    assert [at for at, _ in parts] == [sum(len(p) for _, p in parts[:i]) for i in range(len(parts))]
+    assert len(parts) > 3 and all(sum(len((t or "").encode()) for t in part[:-1]) < 10 for _, part in parts)
+    assert list(text_slices(pa.array([], kind))) == [] and list(text_slices(pa.array([None], kind))) == [(0, [""])]

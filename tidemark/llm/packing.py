@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, forget, fresh_worker, texts_of
+from .shared import cut, forget, fresh_worker, text_slices, texts_of
 from .tokens import encoder
 
 SPAN = 4
@@ -47,17 +47,17 @@ def cut_pieces(docs: DataFrame, tokenizer: str, room: int = 2048, end_id: int =
         fresh_worker()
         bpe, pid = encoder(tokenizer), TaskContext.get().partitionId() << 40
         for batch in batches:
-            out = []
-            for doc, raw in zip(batch.column(0).to_pylist(), bpe.encode(batch.column(1).to_pylist())):
-                ids = np.append(np.frombuffer(raw, bpe.kind), bpe.kind.type(end_id)).astype("<u4")
-                a, k = 0, 0
-                while a < len(ids):
-                    b = a + ((len(ids) - a - 1) % room + 1)
-                    out.append((doc, k, a, b - a, zlib.crc32(ids[a:b]), pid))
-                    a, k, pid = b, k + 1, pid + 1
-            cols = list(zip(*out)) or [()] * 6
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "pid"])
+            for at, texts in text_slices(batch.column(1)):
+                out = []
+                for doc, raw in zip(batch.column(0).slice(at, len(texts)).to_pylist(), bpe.encode(texts)):
+                    ids = np.append(np.frombuffer(raw, bpe.kind), bpe.kind.type(end_id)).astype("<u4")
+                    a, k = 0, 0
+                    while a < len(ids):
+                        b = a + ((len(ids) - a - 1) % room + 1)
+                        out.append((doc, k, a, b - a, zlib.crc32(ids[a:b]), pid))
+                        a, k, pid = b, k + 1, pid + 1
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "pid"])
         del bpe
         fresh_worker()  # this worker may be idle while others run the rounds
 

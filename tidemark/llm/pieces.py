@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import texts_of
+from .shared import text_slices, texts_of
 from .tokens import by_word, entry_bytes
 
 MARK = "▁"
@@ -198,7 +198,7 @@ def _map(docs: DataFrame, path: str, make, columns: list[tuple[str, pa.DataType,
         bpe = model(path)
         for batch in batches:
             rows = []
-            for raw in bpe.encode(batch.column(1).to_pylist()):
+            for raw in (raw for _, texts in text_slices(batch.column(1)) for raw in bpe.encode(texts)):
                 ids = np.empty(len(raw) // bpe.kind.itemsize + 2, "<u4")
                 ids[0], ids[1:-1], ids[-1] = bpe.bos, np.frombuffer(raw, bpe.kind), bpe.eos
                 rows.append(make(bpe, ids))

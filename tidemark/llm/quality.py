@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, forget, texts_of
+from .shared import cut, forget, text_slices, texts_of
 
 BINS = 512
 #: Bytes compressed apart from the rest; their compressibility is the mean over a text.
@@ -111,11 +111,11 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 
 
 def _map(rows: DataFrame, keep: list[str], column: str, kind: str, of) -> DataFrame:
-    """keep and a column made of the batch's last column."""
+    """keep and a column made of the last column's texts."""
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], of(batch.column(len(keep)))], [*keep, column])
+            yield from (pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in batch.columns[: len(keep)]), of(texts)], [*keep, column]) for at, texts in text_slices(batch.column(len(keep))))
 
     types = dict(rows.dtypes)
     return rows.mapInArrow(run, ", ".join([*(f"{k} {types[k]}" for k in keep), f"{column} {kind}"]))
@@ -125,8 +125,8 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(STATISTICS)) if len(column) else np.zeros((0, len(STATISTICS)))
 
 
-def _statistics_column(column):
-    return pa.array([statistics(t) for t in column.to_pylist()], pa.list_(pa.float64()))
+def _statistics_column(texts):
+    return pa.array([statistics(t) for t in texts], pa.list_(pa.float64()))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample: int) -> DataFrame:
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", learn: Colum
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every document."""
-    return _map(texts_of(docs), ["doc_id"], "score", "double", lambda texts: pa.array(model.score(np.array([statistics(t) for t in texts.to_pylist()]).reshape(-1, len(STATISTICS)))))
+    return _map(texts_of(docs), ["doc_id"], "score", "double", lambda texts: pa.array(model.score(np.array([statistics(t) for t in texts]).reshape(-1, len(STATISTICS)))))
 
 
 def quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -209,8 +209,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options)
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.names.index("text")).to_pylist()]
-            got = model.score(np.array([statistics(t) for t in texts]).reshape(-1, len(STATISTICS)))
-            yield batch.filter(pa.array(got >= least))
+            for at, texts in text_slices(batch.column(batch.schema.names.index("text"))):
+                got = model.score(np.array([statistics(t) for t in texts]).reshape(-1, len(STATISTICS)))
+                yield batch.slice(at, len(texts)).filter(pa.array(got >= least))
 
     return docs.mapInArrow(run, docs.schema)

@@ -10,10 +10,11 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of text that a worker takes apart at once.
+#: Characters, or bytes, of text that a worker takes apart at once.
 SLICE = 1 << 21
 _own_root: list[str] = []
 
@@ -90,6 +91,15 @@ def slices(texts: list[str]):
         yield at, part
 
 
+def text_slices(column):
+    """(first, texts) of runs of about SLICE bytes of an Arrow column, a null as the empty text: Python never holds a whole batch's texts."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
+    if len(sizes):
+        starts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // SLICE, prepend=-1)).tolist()
+        for a, b in zip(starts, [*starts[1:], len(sizes)]):
+            yield a, [t or "" for t in column.slice(a, b - a).to_pylist()]
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, a null text as the empty one; further columns, of whatever name, are left out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

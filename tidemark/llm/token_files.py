@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import scratch_path, shuffle_partitions, texts_of
+from .shared import scratch_path, shuffle_partitions, text_slices, texts_of
 from .tokens import encoder
 
 MAGIC, VERSION, BLOCK = b"TMPF", 2, 128
@@ -216,7 +216,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([made], pa.int64()), pa.array([f"{folder}/part-{part:06d}-{made:06d}.tmpf"]), pa.array([len(to.docs)], pa.int64()), pa.array([to.n_ids], pa.int64())], ["part", "nth", "file", "n_docs", "n_ids"])
 
         for batch in batches:
-            for doc, raw in zip(batch.column(0).to_pylist(), bpe.encode(batch.column(1).to_pylist())):
+            coded = (raw for _, texts in text_slices(batch.column(1)) for raw in bpe.encode(texts))
+            for doc, raw in zip(batch.column(0).to_pylist(), coded):
                 if to is None:
                     store.create_dir(base, recursive=True)
                     name = f"{base}/.part-{part:06d}-{made:06d}-{TaskContext.get().taskAttemptId()}"

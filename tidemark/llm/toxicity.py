@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, forget, texts_of
+from .shared import cut, forget, text_slices, texts_of
 
 _BREAK = re.compile(r"[\W_]+")
 BEGINNINGS = (4, 5, 6, 7)
@@ -176,11 +176,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int
 
     def candidates(batches):
         for batch in batches:
-            got: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for c in _candidates(text):
-                    got[c][y] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array([v[1] for v in got.values()], pa.int64()), pa.array([v[0] for v in got.values()], pa.int64())], ["marker", "pos", "neg"])
+            for at, texts in text_slices(batch.column(0)):
+                got: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+                for text, y in zip(texts, batch.column(1).slice(at, len(texts)).to_pylist()):
+                    for c in _candidates(text):
+                        got[c][y] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array([v[1] for v in got.values()], pa.int64()), pa.array([v[0] for v in got.values()], pa.int64())], ["marker", "pos", "neg"])
 
     counted = rows.select("text", "y").mapInArrow(candidates, "marker string, pos long, neg long").groupBy("marker").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     best = counted.where(told_apart(F.col("pos"), F.col("neg"), totals[1], totals[0]) >= least).where(F.col("pos") * totals[0] > F.col("neg") * totals[1])
@@ -188,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int
 
     def count(batches):
         for batch in batches:
-            found = [markers.counts(t) for t in batch.column(1).to_pylist()]
+            found = [markers.counts(t) for _, texts in text_slices(batch.column(1)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["doc_id", "y", "lang", "at", "n"])
 
     got = rows.select("doc_id", "text", "y", "lang").mapInArrow(count, "doc_id long, y int, lang string, at array<int>, n array<int>").orderBy("doc_id", "y").toPandas()  # the bounded sample
@@ -233,9 +234,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options)
 
     def run(batches):
         for batch in batches:
-            p = _probabilities(fitted, batch.column(1).to_pylist())
-            named = [list(zip(fitted.categories, row)) for row in p.tolist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p[:, -1] >= least), pa.array(p[:, -1]), pa.array(named, pa.map_(pa.string(), pa.float64()))], ["doc_id", "toxic", "score", "categories"])
+            for at, texts in text_slices(batch.column(1)):
+                p = _probabilities(fitted, texts)
+                named = [list(zip(fitted.categories, row)) for row in p.tolist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(p[:, -1] >= least), pa.array(p[:, -1]), pa.array(named, pa.map_(pa.string(), pa.float64()))], ["doc_id", "toxic", "score", "categories"])
 
     return texts_of(docs).mapInArrow(run, "doc_id long, toxic boolean, score double, categories map<string,double>")
 
@@ -246,7 +248,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options
 
     def run(batches):
         for batch in batches:
-            p = _probabilities(fitted, [t or "" for t in batch.column(batch.schema.names.index("text")).to_pylist()])
-            yield batch.filter(pa.array(p[:, -1] < least))
+            for at, texts in text_slices(batch.column(batch.schema.names.index("text"))):
+                p = _probabilities(fitted, texts)
+                yield batch.slice(at, len(texts)).filter(pa.array(p[:, -1] < least))
 
     return docs.mapInArrow(run, docs.schema)
