@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, forget, fresh_worker, text_slices, texts_of
+from .shared import cut, forget, text_slices, texts_of, trim
 from .tokens import encoder
 
 SPAN = 4
@@ -44,7 +44,6 @@ def cut_pieces(docs: DataFrame, tokenizer: str, room: int = 2048, end_id: int =
     """doc_id, piece, start, length, ids_crc32 of every piece, with pid, a number of its own."""
 
     def pieces(batches):
-        fresh_worker()
         bpe, pid = encoder(tokenizer), TaskContext.get().partitionId() << 40
         for batch in batches:
             for at, texts in text_slices(batch.column(1)):
@@ -58,8 +57,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, room: int = 2048, end_id: int =
                         a, k, pid = b, k + 1, pid + 1
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "pid"])
-        del bpe
-        fresh_worker()  # this worker may be idle while others run the rounds
+        trim()  # the encoder stays for the worker's next task
 
     return texts_of(docs).mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long, pid long")
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters, or bytes, of text that a worker takes apart at once.
-SLICE = 1 << 21
+SLICE = 1 << 23
 _own_root: list[str] = []
 
 
