@@ -408,6 +408,26 @@ def test_pruning_and_cache(spark, path):
         assert (t.cache.hits, t.cache.misses) == (1, 1)
 
 
+def test_a_bulk_write_is_one_write_of_level_0_however_many_files(spark, path):
+    keys = spark.createDataFrame([(b"k%03d" % i,) for i in range(100)], "key binary")
+    log = spark.createDataFrame([(b"k%03d" % i, b"v" * 50, i % 4 == 0) for i in range(100)], "key binary, value binary, tombstone boolean")
+    with Table.open(spark, path, Options(target_file_size=1000, compaction_trigger=3)) as t:
+
+        def deleted():
+            return t.multi_get(keys).where("status = 'Deleted'").count()
+
+        before = t.snapshot()
+        t.write_all(log)
+        assert len(t.manifest.level(0)) > 3 and deleted() == 25
+        t.write_all(log)
+        assert t.manifest.level(0) and deleted() == 25
+        t.write_all(log)
+        assert not t.manifest.level(0) and deleted() == 25, "a snapshot from before keeps them"
+        t.release(before)
+        t.compact()
+        assert deleted() == 0 and t.scan().count() == 75
+
+
 @settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.integers(0, 10**6))
 def test_random_operations(spark, tmp_path_factory, seed):

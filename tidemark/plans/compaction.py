@@ -19,6 +19,11 @@ def level_bytes(m: Manifest, level: int) -> int:
     return sum(f.entries for f in m.level(level)) * ENTRY_OVERHEAD
 
 
+def runs(m: Manifest) -> int:
+    """Writes held in level 0. The files of one lie in one folder and share no key, so they cost a read as much as one file does."""
+    return len({f.path.rsplit("/", 1)[0] for f in m.level(0)})
+
+
 def forced(m: Manifest) -> Pick | None:
     """Everything into level 1; nothing is left below."""
     return Pick(tuple(m.files), 1, True) if m.files else None
@@ -33,9 +38,9 @@ def _with_overlap(m: Manifest, inputs: list[FileMeta], level: int) -> Pick:
 
 
 def due(m: Manifest, options: Options) -> Pick | None:
-    """Level 0 when it has enough files; else the oldest file of the first level over its limit."""
+    """Level 0 when it has enough writes; else the oldest file of the first level over its limit."""
     top = m.level(0)
-    if len(top) >= options.compaction_trigger:
+    if top and runs(m) >= options.compaction_trigger:
         return _with_overlap(m, top, 1)
     for level in range(1, LEVELS - 1):
         files = m.level(level)

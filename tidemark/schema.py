@@ -28,7 +28,7 @@ class Options:
     """Tunables of a table.
 
     flush_threshold_bytes: estimated size of pending writes at which they become a file.
-    compaction_trigger: number of level-0 files that starts a compaction.
+    compaction_trigger: number of writes (flushes, bulk writes) in level 0 that starts a compaction.
     target_file_size: bytes of versions a compaction aims at in each file.
     l1_max_bytes, level_size_multiplier: size limit of level 1, and growth from level to level.
     cache_bytes: bytes of point reads' results kept in memory, 0 for none.
