@@ -4,9 +4,10 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import shared
-from tidemark.llm.shared import components, text_slices
+from tidemark.llm.shared import SLICE, components, text_slices, texts_of
 
 
 def smallest(edges):
@@ -48,3 +49,14 @@ def test_text_slices(monkeypatch, kind):
     assert [at for at, _ in parts] == [sum(len(p) for _, p in parts[:i]) for i in range(len(parts))]
     assert len(parts) > 3 and all(sum(len((t or "").encode()) for t in part[:-1]) < 10 for _, part in parts)
     assert list(text_slices(pa.array([], kind))) == [] and list(text_slices(pa.array([None], kind))) == [(0, [""])]
+
+
+def test_batches_end_at_their_bytes(spark):
+    """A batch of rows takes SLICE bytes and one text at most, however many rows."""
+
+    def sizes(batches):
+        yield from (pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"]) for b in batches)
+
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.expr("repeat('a', 100000)").alias("text")).coalesce(1)
+    rows = texts_of(docs).mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in rows) == 400 and max(r.size for r in rows) <= SLICE + 200_000

@@ -2,6 +2,7 @@
 
 import io
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -124,6 +125,20 @@ def test_packing_odd_documents(odd_docs, no_docs):
     assert pack(no_docs, PATH).count() == 0
 
 
+def test_words_that_come_again_outlive_a_full_cache():
+    """Common words among ever new ones: the library sees them once, and what is held stays below the bound and one slice."""
+    own, seen = ByteBpe(PATH, capacity=200_000), []
+    library = own._ids
+    own._ids = lambda tokens: seen.extend(tokens) or library(tokens)
+    common = [f"common{chr(97 + i)}" for i in range(26)]
+    for k in range(30):
+        text = " ".join(["x", *common, *(f"rare{chr(97 + k)}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300))])
+        assert own.encode([text]) == own.whole([text])
+        sizes = [sum(sys.getsizeof(w) + sys.getsizeof(i) for w, i in c.items()) for c in (own.tokens, own.earlier)]
+        assert sum(sizes) <= 200_000 + 2 * 330 * 200
+    assert own.earlier and all(seen.count(" " + w) == 1 for w in common)
+
+
 def best_fit_decreasing(lengths, room):
     gaps = []
     for n in sorted(lengths, reverse=True):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .shared import text_slices, texts_of
-from .tokens import by_word, entry_bytes
+from .tokens import by_word, entry_bytes, spaced
 
 MARK = "▁"
 #: Pairs of tokens remembered at most; a pair is two strings of the vocabulary, so an entry has a bound.
@@ -158,8 +158,8 @@ class PieceBpe:
                 self.held += entry_bytes(w, got)
         return list(map(self.words.__getitem__, words))
 
-    def _after_space(self, words: list[str], _array: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        known = self._marked(words)
+    def _after_space(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        known = self._marked(spaced(words).split(" ")[:-1])
         return pa.array([x or b"" for x in known], pa.large_binary()), np.fromiter((x is None for x in known), bool, len(known))
 
     def encode(self, texts: list[str]) -> list[bytes]:

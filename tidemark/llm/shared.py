@@ -74,6 +74,14 @@ def trim() -> None:
         release(0)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on this session's Arrow batches end at SLICE bytes, unless less is set: by default one takes 64 MB in the JVM, and again in Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key, None)
+    if not held or not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(held) <= SLICE:
+        spark.conf.set(key, str(SLICE))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -102,6 +110,7 @@ def text_slices(column):
 
 def texts_of(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, a null text as the empty one; further columns, of whatever name, are left out."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

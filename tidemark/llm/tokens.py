@@ -24,15 +24,27 @@ from .shared import slices
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Bytes of a dictionary's entry besides its word and ids, about.
+ENTRY = 100
+
+
 def entry_bytes(word: str, ids: bytes | None) -> int:
     """What a dictionary holds for one entry, about."""
-    return sys.getsizeof(word) + sys.getsizeof(ids) + 100
+    return sys.getsizeof(word) + sys.getsizeof(ids) + ENTRY
+
+
+def spaced(words: pa.Array) -> str:
+    """Words of a large_string array with a space after each; none of them holds a space, so split(" ") finds them sooner than to_pylist()."""
+    if not len(words):
+        return ""
+    joined = pc.binary_join_element_wise(words, *[pa.scalar(s, pa.large_string()) for s in ("", " ")])
+    return str(memoryview(joined.buffers()[2])[: int(np.frombuffer(joined.buffers()[1], np.int64)[len(words)])], "utf-8")
 
 
 def by_word(texts: list[str], ids_of, first_of) -> list[bytes | None]:
     """Each text's ids, put together from those of its space-separated words.
 
-    ids_of maps distinct words, as they stand after a space (a list and an array of them), to a
+    ids_of maps an array of distinct words, as they stand after a space, to a
     binary array of their ids and a mask of words that have to be seen in their text; first_of maps words at a text's start
     to ids, or None for such a word. A text with one of those gives None. Splitting, numbering
     and joining run in Arrow, some texts at a time; Python sees distinct words alone.
@@ -43,9 +55,9 @@ def by_word(texts: list[str], ids_of, first_of) -> list[bytes | None]:
 def _by_word(texts: list[str], ids_of, first_of) -> list[bytes | None]:
     lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
     starts, words = np.asarray(lists.offsets), lists.values.dictionary_encode()
-    codes, distinct = words.indices, words.dictionary.to_pylist()
-    known, odd = ids_of(distinct, words.dictionary)
-    firsts = [distinct[c] for c in np.asarray(codes)[starts[:-1]].tolist()]
+    codes = words.indices
+    known, odd = ids_of(words.dictionary)
+    firsts = words.dictionary.take(codes.take(pa.array(starts[:-1]))).to_pylist()
     odd_texts = set()
     if odd.any():
         at_start = np.zeros(len(codes), bool)
@@ -62,7 +74,7 @@ def _by_word(texts: list[str], ids_of, first_of) -> list[bytes | None]:
 
 
 class ByteBpe:
-    """Encoder for one tokenizer file. capacity bounds the cache of pre-tokens in bytes, beyond which it begins anew; results don't depend on it."""
+    """Encoder for one tokenizer file. capacity bounds the cache of pre-tokens in bytes: at half of it a new one begins, which takes over from the earlier what comes again. Results don't depend on it."""
 
     def __init__(self, path: str, capacity: int = 80 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -77,6 +89,7 @@ class ByteBpe:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.capacity, self.held = capacity, 0
         self.tokens: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
         self.split = regex.compile(PATTERN).findall
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -85,7 +98,9 @@ class ByteBpe:
 
     def _ids(self, tokens: list[str]) -> None:
         """Encode pre-tokens not seen yet; those of a space and letters go to the library joined."""
-        plain = [t for t in tokens if len(t) > 1 and t[0] == " " and t[1].isalpha()]
+        plain, rest = [], []
+        for t in tokens:
+            (plain if len(t) > 1 and t[0] == " " and t[1].isalpha() else rest).append(t)
         for at in range(0, len(plain), 2_000):
             part = plain[at : at + 2_000]
             ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, self.kind)
@@ -95,28 +110,31 @@ class ByteBpe:
                 self.tokens.update((w, raw[a:b]) for w, a, b in zip(part, ends, ends[1:]))
             else:
                 self.tokens.update(zip(part, self.whole(part)))
-        rest = [t for t in tokens if t not in self.tokens]
         self.tokens.update(zip(rest, self.whole(rest)))
 
-    def _after_space(self, words: list[str], array: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        odd = pc.or_(pc.equal(array, ""), pc.utf8_is_space(pc.utf8_slice_codeunits(array, 0, 1)))
+    def _after_space(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        odd = pc.or_(pc.equal(words, ""), pc.utf8_is_space(pc.utf8_slice_codeunits(words, 0, 1)))
         for special in self.special:
-            odd = pc.or_(odd, pc.match_substring(array, special))
+            odd = pc.or_(odd, pc.match_substring(words, special))
+        plain = words.filter(pc.invert(odd))
         odd = np.asarray(odd)
-        plain = [w for w, o in zip(words, odd) if not o] if odd.any() else words
         # Words that follow each other after single spaces split as each does alone.
-        parts = pa.array(self.split(" " + " ".join(plain)) if plain else [], pa.large_string())
+        found = self.split(" " + spaced(plain)[:-1]) if len(plain) else []
+        parts = pa.array(found, pa.large_string())
         coded = parts.dictionary_encode()
         opens = np.flatnonzero(np.asarray(pc.starts_with(parts, " ")))
         if len(opens) != len(plain):
             raise AssertionError("a word was split in an unknown way")
-        tokens = coded.dictionary.to_pylist()
-        if self.held > self.capacity:
-            self.tokens.clear()
-            self.held = 0
+        codes, places = np.asarray(coded.indices), np.zeros(len(coded.dictionary), np.int64)
+        places[codes[::-1]] = np.arange(len(codes))[::-1]
+        tokens = [found[i] for i in places.tolist()]
+        if self.held > self.capacity // 2:
+            self.earlier, self.tokens, self.held = self.tokens, {}, 0
         new = [t for t in tokens if t not in self.tokens]
-        self._ids(new)
-        self.held += sum(map(entry_bytes, new, map(self.tokens.__getitem__, new)))
+        known = list(map(self.earlier.get, new))
+        self.tokens.update((t, ids) for t, ids in zip(new, known) if ids is not None)
+        self._ids([t for t, ids in zip(new, known) if ids is None])
+        self.held += sum(map(sys.getsizeof, new)) + sum(map(sys.getsizeof, map(self.tokens.__getitem__, new))) + ENTRY * len(new)
         joined = pa.array(list(map(self.tokens.__getitem__, tokens)), pa.large_binary()).take(coded.indices)
         ends = np.frombuffer(joined.buffers()[1], np.int64)[: len(parts) + 1] if len(parts) else np.zeros(1, np.int64)
         sizes = np.zeros(len(words), np.int64)
