@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.llm import quality as quality_stage
+from tidemark.llm import toxicity as toxicity_stage
 from tidemark.llm.quality import Features, held_out, isotonic, keep_good, quality, statistics
 from tidemark.llm.toxicity import BEGINNINGS, Chain, Rows, fit, keep_clean, logistic, normal, toxicity
 
@@ -190,3 +192,29 @@ def test_toxicity_of_odd_tables(odd_docs, no_docs, odd_labels):
     assert not any(r.toxic for r in toxicity(odd_docs, odd_labels.limit(0)).collect())
     kept = keep_clean(odd_docs, odd_labels.where("toxic = 0"))
     assert kept.schema == odd_docs.schema and kept.count() == 12
+
+
+@pytest.mark.parametrize("stage", [quality_stage, toxicity_stage])
+def test_stages_give_up_what_a_worker_holds_of_others(spark, monkeypatch, stage):
+    """Encoders that packing left in Python workers are gone when another stage's rows come."""
+
+    def load(batches):
+        from tidemark.llm import tokens
+
+        tokens.loaded["left"] = bytearray(10)
+        yield from batches
+
+    class Probe:
+        def score(self, x):
+            from tidemark.llm import tokens
+
+            return np.full(len(x), 0.0 if tokens.loaded else 1.0)
+
+    docs = spark.range(64).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text")).repartition(32)
+    docs.mapInArrow(load, docs.schema).count()
+    monkeypatch.setattr(stage, "fit", lambda *a, **b: Probe())
+    if stage is toxicity_stage:
+        monkeypatch.setattr(stage, "_probabilities", lambda fitted, texts: 1.0 - fitted.score(texts)[:, None])
+        assert stage.keep_clean(docs, None).count() == 64
+    else:
+        assert stage.keep_good(docs, None).count() == 64

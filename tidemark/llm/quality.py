@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, forget, text_slices, texts_of
+from .shared import bound_batches, cut, forget, fresh_worker, text_slices, texts_of
 
 BINS = 512
 #: Bytes compressed apart from the rest; their compressibility is the mean over a text.
@@ -114,6 +114,7 @@ def _map(rows: DataFrame, keep: list[str], column: str, kind: str, of) -> DataFr
     """keep and a column made of the last column's texts."""
 
     def run(batches):
+        fresh_worker()
         for batch in batches:
             yield from (pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in batch.columns[: len(keep)]), of(texts)], [*keep, column]) for at, texts in text_slices(batch.column(len(keep))))
 
@@ -208,9 +209,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options)
     model = fit(docs, labels, **options)
 
     def run(batches):
+        fresh_worker()
         for batch in batches:
             for at, texts in text_slices(batch.column(batch.schema.names.index("text"))):
                 got = model.score(np.array([statistics(t) for t in texts]).reshape(-1, len(STATISTICS)))
                 yield batch.slice(at, len(texts)).filter(pa.array(got >= least))
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

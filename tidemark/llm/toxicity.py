@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, forget, text_slices, texts_of
+from .shared import bound_batches, cut, forget, fresh_worker, text_slices, texts_of
 
 _BREAK = re.compile(r"[\W_]+")
 BEGINNINGS = (4, 5, 6, 7)
@@ -166,6 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int
     chosen = known.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives).union(known.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(negatives))
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
+    bound_batches(docs.sparkSession)
     # At most positives + negatives rows of two numbers.
     rows, path = cut(texts.join(F.broadcast(chosen), "doc_id"), "toxicity-sample")
     spark = docs.sparkSession
@@ -175,6 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int
         return Fitted(Markers([]), [label], None)
 
     def candidates(batches):
+        fresh_worker()
         for batch in batches:
             for at, texts in text_slices(batch.column(0)):
                 got: dict[str, list[int]] = defaultdict(lambda: [0, 0])
@@ -247,9 +249,11 @@ def keep_clean(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options
     fitted = fit(docs, labels, **options)
 
     def run(batches):
+        fresh_worker()
         for batch in batches:
             for at, texts in text_slices(batch.column(batch.schema.names.index("text"))):
                 p = _probabilities(fitted, texts)
                 yield batch.slice(at, len(texts)).filter(pa.array(p[:, -1] < least))
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
