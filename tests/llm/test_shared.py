@@ -60,3 +60,12 @@ def test_batches_end_at_their_bytes(spark):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.expr("repeat('a', 100000)").alias("text")).coalesce(1)
     rows = texts_of(docs).mapInArrow(sizes, "n long, size long").collect()
     assert sum(r.n for r in rows) == 400 and max(r.size for r in rows) <= SLICE + 200_000
+
+
+@pytest.mark.parametrize("size", [1, 100, 1000, SLICE])
+def test_slices_of_any_size_hold_every_text_once(size):
+    texts = ["é" * (i % 37) if i % 5 else None for i in range(300)]
+    got = list(text_slices(pa.array(texts), size))
+    assert [t for _, part in got for t in part] == [t or "" for t in texts]
+    assert [at for at, _ in got] == [sum(len(part) for _, part in got[:k]) for k in range(len(got))]
+    assert all(sum(len(t.encode()) for t in part) <= size + 2 * 37 for _, part in got)

@@ -99,11 +99,11 @@ def slices(texts: list[str]):
         yield at, part
 
 
-def text_slices(column):
-    """(first, texts) of runs of about SLICE bytes of an Arrow column, a null as the empty text: Python never holds a whole batch's texts."""
+def text_slices(column, size: int | None = None):
+    """(first, texts) of runs of about `size` (SLICE) bytes of an Arrow column, a null as the empty text: Python never holds a whole batch's texts."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
     if len(sizes):
-        starts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // SLICE, prepend=-1)).tolist()
+        starts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // (size or SLICE), prepend=-1)).tolist()
         for a, b in zip(starts, [*starts[1:], len(sizes)]):
             yield a, [t or "" for t in column.slice(a, b - a).to_pylist()]
 
